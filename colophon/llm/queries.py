@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, quality_classifier, quality_rules, token_files
+from . import additive_quantisation, byte_bpe, html_extraction, mixing, quality_classifier, quality_rules, token_files
 from .common import table
 
 MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -38,10 +38,20 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_file(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_quantisation.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    text = html_extraction.extract_text(pages, html_extraction.fit_weights(pages))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op5_byte_bpe, op6_token_files, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op5_byte_bpe, op6_token_files, op7_additive_quantisation, op9_html_extraction, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
