@@ -44,6 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so as the driver collects garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, natively: runs of other characters than SPACES; null has none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quantisation, byte_bpe, html_extraction, mixing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_files
+from . import additive_quantisation, byte_bpe, html_extraction, mixing, near_duplicates, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_files
 from .common import table
 
 MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -31,6 +31,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.round_trip(docs, MULTI_BPE, public_tokenizers.PATTERN).select("doc_id", "__bpe.*")
@@ -63,5 +68,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op3_substring_dedup, op5_byte_bpe, op6_token_files, op7_additive_quantisation, op8_suffix_dedup, op9_html_extraction, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op3_substring_dedup, op4_jaccard_join, op5_byte_bpe, op6_token_files, op7_additive_quantisation, op8_suffix_dedup, op9_html_extraction, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -221,47 +221,62 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
-def block_hashes(hashes: np.ndarray, block: int, n_buckets: int) -> pa.RecordBatch:
-    """A row per bucket: the block's distinct hashes, those found once and the others with their counts."""
+def block_hashes(hashes: np.ndarray, block: int, n_buckets: int, kind: str = "<u8") -> pa.RecordBatch:
+    """A row per bucket: the block's distinct hashes (or their lower half), those found once and the others with their counts."""
     h, count = np.unique(hashes, return_counts=True)
     cuts = np.searchsorted(bucket_of(h, n_buckets), np.arange(n_buckets + 1))
+    narrow = lambda x: (x if kind == "<u8" else x & np.uint64((1 << 32) - 1)).astype(kind).tobytes()
     rows = []
     for b in np.flatnonzero(np.diff(cuts)):
         x, c = h[cuts[b] : cuts[b + 1]], count[cuts[b] : cuts[b + 1]]
-        rows.append((int(b), block, x[c == 1].tobytes(), x[c > 1].tobytes(), c[c > 1].astype("<u4").tobytes()))
+        rows.append((int(b), block, narrow(x[c == 1]), narrow(x[c > 1]), c[c > 1].astype("<u4").tobytes()))
     cols = list(zip(*rows)) or [[]] * 5
     types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["bucket", "block", "once", "many", "counts"])
 
 
 HASHES = "bucket int, block int, once binary, many binary, counts binary"
-ANSWERS = "block int, hashes binary, counts binary"
+ANSWERS = "block int, bucket int, hashes binary, counts binary"
 
 
 def count_hashes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Answers each block with those of its hashes that were sent twice or more in all, and how often."""
+    yield from _count(parts, "<u8")
+
+
+def count_narrow_hashes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same for hashes of which 32 bits are sent: with the bucket, about 2**32 values for each bucket."""
+    yield from _count(parts, "<u4")
+
+
+def _count(parts: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     rows = [r for batch in parts for r in batch.to_pylist()]
     if not rows:
         return
-    own = [np.concatenate([np.frombuffer(r["once"], "<u8"), np.frombuffer(r["many"], "<u8")]) for r in rows]
-    counts = np.concatenate([np.concatenate([np.ones(len(r["once"]) // 8, np.uint32), np.frombuffer(r["counts"], "<u4")]) for r in rows])
-    every = np.concatenate(own)
+    own, counts = [], []
+    for r in rows:
+        x = np.concatenate([np.frombuffer(r["once"], kind), np.frombuffer(r["many"], kind)]).astype(np.uint64)
+        own.append(x if kind == "<u8" else x | np.uint64(r["bucket"] << 32))
+        counts.append(np.concatenate([np.ones(len(x) - len(r["counts"]) // 4, np.uint32), np.frombuffer(r["counts"], "<u4")]))
+        r.update(once=None, many=None, counts=None)
+    every, counts = np.concatenate(own), np.concatenate(counts)
     order = np.argsort(every)
     s = every[order]
     new = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
     total = np.add.reduceat(counts[order].astype(np.int64), new)
     known, total = s[new][total > 1], np.minimum(total[total > 1], (1 << 32) - 1).astype("<u4")
     for r, x in zip(rows, own):
-        if len(known):
-            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-            hit = known[at] == x
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int32()), pa.array([x[hit].tobytes()], pa.binary()), pa.array([total[at[hit]].tobytes()], pa.binary())], ["block", "hashes", "counts"])
+        at = look_up(known, x)
+        hit = at >= 0
+        if hit.any():
+            cols = [pa.array([r["block"]], pa.int32()), pa.array([r["bucket"]], pa.int32()), pa.array([x[hit].astype(kind).tobytes()], pa.binary()), pa.array([total[at[hit]].tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["block", "bucket", "hashes", "counts"])
 
 
-def answers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The block's repeated hashes, sorted, and their counts."""
-    h = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()] or [np.zeros(0, np.uint64)])
+def answers(table: pa.Table, kind: str = "<u8") -> tuple[np.ndarray, np.ndarray]:
+    """The block's repeated hashes, sorted, and their counts. Narrow ones come with their bucket in the upper half."""
+    wide = lambda x, b: np.frombuffer(x, kind).astype(np.uint64) | np.uint64(0 if kind == "<u8" else b << 32)
+    h = np.concatenate([wide(x, b) for x, b in zip(table.column("hashes").to_pylist(), table.column("bucket").to_pylist())] or [np.zeros(0, np.uint64)])
     c = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()] or [np.zeros(0, np.uint32)])
     order = np.argsort(h)
     return h[order], c[order]
