@@ -71,7 +71,11 @@ def with_base_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: in
     covered = F.array_distinct(F.concat(F.col("__at"), *[F.transform(F.col("__at"), lambda x, k=k: x + k) for k in (1, 2)]))
     df = df.withColumn("n_repeat_words", F.size(covered).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return df.withColumn("base_failed", failed).drop("__words", "__lines", "__tri", "__again", "__high", "__low", "__at")
+    df = df.withColumn("base_failed", failed)
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    # A generator of one row, through which no filter on these columns moves: it would take their expressions along, into
+    # the lambdas, which would then run once for each element of another.
+    return df.select(*docs.columns, F.inline(F.array(F.struct(*made))))
 
 
 def _line_column(text: Column) -> Column:
