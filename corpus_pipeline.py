@@ -1,5 +1,73 @@
-"""placeholder"""
-STAGES = []
+"""The corpus pipeline: five stages, each applying one operator of ``colophon.llm`` to what the stage before it kept."""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colophon.llm import byte_bpe, mixing, near_duplicates, quality_rules, substring_dedup
+from colophon.llm.common import shared_dir, table
+
+
+def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows with the columns of docs; n_chars follows the text where docs has it."""
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
+
+
+def rule_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, without the lines that are too frequent in their source."""
+    ruled = quality_rules.quality_rules(docs).filter("kept")
+    return _as_documents(ruled.withColumn("text", F.col("clean_text")), docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group that links connect."""
+    return near_duplicates.keep_one(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of passages that occur earlier."""
+    return _as_documents(substring_dedup.dedup_substrings(docs), docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    mixed = mixing.mix_sources(docs)
+    copies = F.when(F.col("__len") > 0, (F.col("__taken") / F.col("__len")).cast("int")).otherwise(0)
+    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document of the mix: doc_id, source, and the length and digests of its token ids and of what they decode to."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN).select("doc_id", "source", "__bpe.*")
+
+
+STAGES = [
+    ("quality rules", rule_quality),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("substring dedup", drop_repeated_passages),
+    ("mixing sources", mix),
+    ("byte-level BPE", encode),
+]
+
+#: Grouping by links, seeded subsets and BPE have no form in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies STAGES to the documents; each stage's rows are written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        done = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return done
+        done.write.parquet(f"{folder}/{i}")
+        docs = spark.read.schema(done.schema).parquet(f"{folder}/{i}")
+    return docs
