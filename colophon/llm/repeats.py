@@ -23,6 +23,7 @@ spans of what is repeated. No step has work that grows with the square of a grou
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -32,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from .common import shuffle_partitions, utf8
+from .common import shuffle_partitions, small_batches, utf8
 
 PLACE_BITS = 28
 LAST_ID = (1 << 63) - 1
 #: Occurrences of an anchor that go to one salt, on average.
 SALT_ROWS = 512
 CHUNK = 1 << 19
+#: Blocks for each partition: a block is in a worker's memory as a whole.
+BLOCKS = 3
 
 SPAN = np.dtype([("h", "<u8"), ("tag", "<u8"), ("id", "<i8"), ("salts", "<u4"), ("block", "<u4"), ("lo", "<u4"), ("off", "<u4"), ("n", "<u4"), ("size", "<u4")])
 REPEAT = np.dtype([("tag", "<u8"), ("lo", "<u4"), ("n", "<u4")])
@@ -173,9 +176,9 @@ def digest(text: bytes) -> bytes:
     return hashlib.blake2b(text, digest_size=16).digest()
 
 
-def to_blocks(docs: DataFrame, n_blocks: int, least: int) -> DataFrame:
+def to_blocks(docs: DataFrame, n_parts: int, least: int) -> DataFrame:
     """docs dealt to blocks, with __sig, __block and __copy; a copy within its batch loses its text if that has ``least`` bytes."""
-    names = docs.columns
+    names, n_blocks = docs.columns, BLOCKS * n_parts
     schema = StructType([*docs.schema.fields, StructField("__sig", BinaryType()), StructField("__block", IntegerType()), StructField("__copy", BooleanType())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +199,7 @@ def to_blocks(docs: DataFrame, n_blocks: int, least: int) -> DataFrame:
             cols[at] = pa.array(kept, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sigs, pa.binary()), pa.array(blocks, pa.int32()), pa.array(copy)], [*names, "__sig", "__block", "__copy"])
 
-    return docs.mapInArrow(run, schema).repartition(n_blocks, "__block")
+    return docs.mapInArrow(run, schema).repartition(n_parts, "__block")
 
 
 def order_id(doc_id: int | None) -> int:
@@ -410,6 +413,7 @@ def repeated_tokens(docs: DataFrame, kind: Kind, finish, out: StructType) -> Dat
     ``window`` tokens or more are repeated as a whole.
     """
     n = shuffle_partitions(docs.sparkSession)
+    small_batches(docs.sparkSession)
     blocks = to_blocks(docs, n, 16 * kind.window)
     names = docs.columns
 
@@ -482,9 +486,10 @@ def repeated_tokens(docs: DataFrame, kind: Kind, finish, out: StructType) -> Dat
         texts = left.column("text")
         results: list = [None] * left.num_rows
         later: dict[bytes, tuple] = {}
+        sigs = left.column("__sig").to_pylist()
+        many = {s for s, c in Counter(sigs).items() if c > 1}
         for sig, i in first.items():
-            text = utf8([texts[i].as_py()])[0]
-            t = kind.tokens([text])
+            t = kind.tokens(utf8([texts[i].as_py()]))
             total = len(t.values)
             covered = np.zeros(total, bool)
             runs = found.get(tag_of(sig))
@@ -494,8 +499,9 @@ def repeated_tokens(docs: DataFrame, kind: Kind, finish, out: StructType) -> Dat
                 np.add.at(edge, np.minimum(runs["lo"].astype(np.int64) + runs["n"] - 1 + kind.window, total), -1)
                 covered = np.cumsum(edge)[:-1] > 0
             results[i] = finish(t, covered)
-            later[sig] = finish(t, np.full(total, total >= kind.window))
-        for i, sig in enumerate(left.column("__sig").to_pylist()):
+            if sig in many:
+                later[sig] = finish(t, np.full(total, total >= kind.window))
+        for i, sig in enumerate(sigs):
             if results[i] is None:
                 results[i] = later[sig]
         cols = list(zip(*results)) or [[]] * len(fields)
