@@ -7,7 +7,8 @@ its own text, or if the removal leaves less than ``min_left`` of its words.
 
 Defined cases. A null text is an empty text: no words, so the base rules reject it. A null source is a host of its own; a
 null doc_id is kept as it is. Repeated rows give repeated results. Empty tables give empty results. Columns other than
-doc_id, text and source pass through untouched, whatever their names: working columns start with ``__``.
+doc_id, text and source pass through untouched, but for those named like a result, which the result replaces; names that
+start with ``__`` are reserved.
 
 Everything is DataFrame code: hashes of three-word windows are packed with their position in a long and sorted as a
 primitive array, so neighbours that agree are repeats. Two packings with different bits of the hash must agree.
@@ -68,14 +69,15 @@ def with_base_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: in
     for name, low in (("__high", False), ("__low", True)):
         df = df.withColumn(name, F.when(F.col("__again"), _packed(F.col("__tri"), low)).otherwise(none))
     df = df.withColumn("__at", F.array_intersect(_repeated("__high"), _repeated("__low")))
-    covered = F.array_distinct(F.concat(F.col("__at"), *[F.transform(F.col("__at"), lambda x, k=k: x + k) for k in (1, 2)]))
+    # (a lambda with a second parameter, even one with a default, would be given the position)
+    covered = F.array_distinct(F.concat("__at", F.transform("__at", lambda x: x + 1), F.transform("__at", lambda x: x + 2)))
     df = df.withColumn("n_repeat_words", F.size(covered).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     # A generator of one row, through which no filter on these columns moves: it would take their expressions along, into
     # the lambdas, which would then run once for each element of another.
-    return df.select(*docs.columns, F.inline(F.array(F.struct(*made))))
+    return df.select(*[c for c in docs.columns if c not in made], F.inline(F.array(F.struct(*made))))
 
 
 def _line_column(text: Column) -> Column:
