@@ -80,7 +80,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.nda
     if rest <= 0:
         return take
     # items: (words, index, documents), counts split into powers of two
-    span = rest + int(lengths[counts > take].min(initial=0)) + 1
+    span = rest + int(lengths[counts > take].min(initial=rest)) + 1
     mask, reach = (1 << span) - 1, 1
     first = np.full(span, -1, np.int64)
     items: list[tuple[int, int, int]] = []
