@@ -6,7 +6,7 @@ one probability. Training runs on the driver over a bounded sample of labelled r
 and ``max_bytes`` of text, whole texts, in hash order); scoring covers all rows in Arrow batches of bounded memory.
 
 Defined cases: null and empty texts are scored as a chunk of padding; a null doc_id isn't held out and never trains;
-labels other than 0 and 1 are ignored, as are repeated labels that contradict each other (the first by value counts);
+labels other than 0 and 1 are ignored, and of labels that contradict each other the smaller stands;
 with fewer than one row of either label, all scores are the share of label 1 (0.5 without labels). Columns pass through.
 """
 
@@ -51,11 +51,18 @@ def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, halves
 
 
-def _windows(data: np.ndarray, embed: np.ndarray) -> np.ndarray:
+def _last(halves: np.ndarray) -> np.ndarray:
+    """The last position of each text: its window reaches into the next text, and sees padding there."""
+    return np.cumsum(halves) * (HALF // STRIDE) - 1
+
+
+def _windows(data: np.ndarray, halves: np.ndarray, embed: np.ndarray) -> np.ndarray:
     e = embed[data]
     n = (len(data) - WIDTH) // STRIDE
     view = np.lib.stride_tricks.as_strided(e, (n, WIDTH * EMBED), (STRIDE * EMBED * e.itemsize, e.itemsize))
-    return np.ascontiguousarray(view)
+    x = np.ascontiguousarray(view)
+    x[_last(halves), STRIDE * EMBED :] = np.tile(embed[0], WIDTH - STRIDE)
+    return x
 
 
 def _pool(z: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -71,7 +78,7 @@ def _pool(z: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _features(data: np.ndarray, halves: np.ndarray, net: Network) -> np.ndarray:
-    z = _windows(data, net.embed) @ net.weight + net.bias
+    z = _windows(data, halves, net.embed) @ net.weight + net.bias
     np.maximum(z, 0, out=z)
     chunk, first, *_ = _pool(z, halves)
     return np.hstack([np.add.reduceat(chunk, first) / halves[:, None], np.maximum.reduceat(chunk, first)])
@@ -106,7 +113,7 @@ def _long_features(text: bytes, net: Network, most: int) -> np.ndarray:
         last = at + step >= len(text)
         piece = text[at : at + step + (0 if last else HALF + WIDTH)]
         data, halves = _layout([piece])
-        z = np.maximum(_windows(data, net.embed) @ net.weight + net.bias, 0)
+        z = np.maximum(_windows(data, halves, net.embed) @ net.weight + net.bias, 0)
         chunk = _pool(z, halves)[0]
         if not last:
             chunk = chunk[: step // HALF]
@@ -137,7 +144,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 5, batch: int =
         for at in range(0, len(order), batch):
             ids = order[at : at + batch]
             data, halves = _layout([texts[i] for i in ids])
-            x = _windows(data, p["embed"])
+            x = _windows(data, halves, p["embed"])
             z = np.maximum(x @ p["weight"] + p["bias"], 0)
             chunk, first, half, which = _pool(z, halves)
             mean, top = np.add.reduceat(chunk, first) / halves[:, None], np.maximum.reduceat(chunk, first)
@@ -153,12 +160,15 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 5, batch: int =
             inner = z.reshape(-1, per, FILTERS).argmax(1)
             pos = which * per + np.take_along_axis(inner, which, 0)
             dc = dc * (chunk > 0)
+            ends = _last(halves)
             gw, spread, where = np.zeros_like(p["weight"]), [], []
             for k in range(FILTERS):
                 used = np.flatnonzero(dc[:, k])
                 gw[:, k] = dc[used, k] @ x[pos[used, k]]
                 spread.append((dc[used, k][:, None] * p["weight"][:, k]).reshape(-1, EMBED))
-                where.append(data[(pos[used, k] * STRIDE)[:, None] + np.arange(WIDTH)].ravel())
+                seen = data[(pos[used, k] * STRIDE)[:, None] + np.arange(WIDTH)]
+                seen[np.isin(pos[used, k], ends), STRIDE:] = 0
+                where.append(seen.ravel())
             spread, where = np.concatenate(spread), np.concatenate(where)
             ge = np.stack([np.bincount(where, spread[:, j], 256) for j in range(EMBED)], 1).astype(np.float32)
             g |= {"weight": gw, "embed": ge, "bias": dc.sum(0)}
