@@ -119,7 +119,9 @@ def deep_shallow(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         blind_trie(strings, out_order[a:b], depth, got, lcps)
         out_order[a:b] = got
         out_common[a + 1 : b] = lcps[1:]
-    return np.array(out_order, np.int64), np.minimum(np.array(out_common, np.int64), lengths[out_order] if n else 0)
+    done = np.array(out_order, np.int64)
+    ends_at = np.minimum(lengths[done], lengths[np.roll(done, 1)])  # no prefix is longer than either string
+    return done, np.minimum(np.array(out_common, np.int64), ends_at)
 
 
 def _sorted(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
