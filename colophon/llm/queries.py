@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import additive_quantisation, byte_bpe, html_extraction, mixing, near_duplicates, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_files
 from .common import table
+from .oracles import ORACLES as ORACLES
 
 MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LIBRARY_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -69,4 +70,3 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op3_substring_dedup, op4_jaccard_join, op5_byte_bpe, op6_token_files, op7_additive_quantisation, op8_suffix_dedup, op9_html_extraction, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
