@@ -65,11 +65,11 @@ def join(x: Column, separator: str) -> Column:
 
 
 def largest(*sets: Column) -> Column:
-    return F.greatest(*map(F.size, sets), F.lit(0))
+    return F.greatest(*map(F.size, sets), F.lit(0), F.lit(0))
 
 
 def smallest(*sets: Column) -> Column:
-    return F.least(*map(F.size, sets), F.lit(2147483647))
+    return F.least(*map(F.size, sets), F.lit(2147483647), F.lit(2147483647))
 
 
 def keep(x: Column, predicate) -> Column:

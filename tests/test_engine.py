@@ -1,0 +1,139 @@
+import csv
+import json
+import os
+from pathlib import Path
+
+import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+from colophon.functions.blacklist import Blacklist, load
+from colophon.functions.keys import derive_key
+from colophon.operators import cluster, convert, extract, match, verify
+from colophon.plans.scenarios import DEFAULTS, SCENARIOS
+from colophon.sources import files, schemas
+from colophon.streaming import lines as streams
+
+KIND = "ident string, work_id string, title string, container_id string, extra_container_name string, doi string, pmid string, arxiv string, jstor string, release_type string, year int, pages string, subtitles array<string>, crossref_type string, metadata_version int, relations int, related array<string>, authors array<string>"
+
+
+def test_every_rule(spark):
+    flat = [(g, i, *r) for g, rows in SCENARIOS.items() for i, r in enumerate(rows)]
+    names = list(DEFAULTS)
+
+    def one(which, name):
+        rows = [(f"{g}/{i}", *(r[which].get(n, DEFAULTS[n]) for n in names)) for g, i, *r in flat]
+        df = verify.features(spark.createDataFrame(rows, "n string, " + KIND))
+        return verify.as_struct(df, name, "n")
+
+    got = {r.n: (r.status, r.reason) for r in verify.verify_pairs(one(0, "a").join(one(1, "b"), "n")).collect()}
+    assert got == {f"{g}/{i}": (r[2], r[3]) for g, i, *r in flat}
+    produced = {v for v in got.values()}
+    assert {(s, r) for _, s, r in verify.RULES} <= produced
+
+
+def test_golden_pairs(spark):
+    """Pairs judged elsewhere: COLOPHON_GOLDEN names a folder with pairs.csv (ident, ident, status), releases/*.json and titles.txt."""
+    folder = os.environ.get("COLOPHON_GOLDEN")
+    if not folder:
+        pytest.skip("no golden pairs given")
+    folder = Path(folder)
+    titles = Blacklist(titles=frozenset(json.loads((folder / "titles.json").read_text())))
+    docs = [(json.dumps(json.loads(p.read_text())),) for p in (folder / "releases").iterdir()]
+    f = verify.features(verify.flatten(schemas.decode(spark.createDataFrame(docs, "value string"), schemas.RELEASE)), titles).cache()
+    rows = [(r[0], r[1], r[2].split(".")[-1].lower()) for r in csv.reader((folder / "pairs.csv").open()) if r[2]]
+    pairs = spark.createDataFrame(rows, "x string, y string, want string")
+    side = lambda n, k: verify.as_struct(f, n, "ident").withColumnRenamed("ident", k)
+    assert verify.verify_pairs(pairs.join(side("a", "x"), "x").join(side("b", "y"), "y")).filter("status <> want").count() == 0
+
+
+def test_strict_pages(spark):
+    rows = [(1, *{**DEFAULTS, "pages": "1-3"}.values())], [(1, *{**DEFAULTS, "pages": "1-30"}.values())]
+    a, b = (verify.as_struct(verify.features(spark.createDataFrame(r, "n int, " + KIND)), k, "n") for r, k in zip(rows, "ab"))
+    assert verify.verify_pairs(a.join(b, "n"), strict_pages=False).first().reason == "pagecount"
+
+
+def keyed(spark, *rows):
+    return spark.createDataFrame([(k, i, r, f'{{"ident":"{i}"}}') for k, i, r in rows], "key string, ident string, ref boolean, doc string")
+
+
+def test_clusters(spark):
+    rows = keyed(spark, ("a", "1", False), ("a", "2", True), ("b", "3", True), ("b", "4", True), ("c", "5", False), ("", "6", True), ("", "7", False))
+    assert {r.key: r.idents for r in cluster.cluster(rows).collect()} == {"a": ["1", "2"], "b": ["3", "4"], "": ["6", "7"]}
+    assert {r.key for r in cluster.cluster(rows, both=True, drop_empty=True).collect()} == {"a"}
+    assert {r.key for r in cluster.cluster(rows, least=1, most=1).collect()} == {"c"}
+    assert {(r.key, r.total, r.refs, r.nonrefs) for r in cluster.stats(rows, "count").collect()} >= {("a", 2, 1, 1), ("b", 2, 2, 0)}
+    assert {r.key for r in cluster.stats(rows, "unmatched").collect()} == {"b"}
+    assert cluster.first_of_cluster(rows, "ident").filter("key = 'a'").first().ident == "1"
+
+
+def test_zip_groups(spark):
+    left = keyed(spark, ("a", "1", False), ("a", "2", False), ("x", "3", False), ("", "9", False))
+    right = keyed(spark, ("a", "4", True), ("y", "5", True), ("", "8", True))
+    got = match.zip_groups(left, right).collect()
+    assert [(r.key, len(r.g0), len(r.g1)) for r in got] == [("a", 2, 1)]
+    assert {r.ident for r in match.unmatched(left, right).collect()} == {"5", "8"}
+
+
+def test_biblioref_lines(spark):
+    u = convert.RELEASE_URL
+    lines = spark.createDataFrame([("k t s",), ("k same same",), (f"{u}t {u}s Status.STRONG Reason.X",), ("too few",), ("a b c d e",)], "value string")
+    got = {(r.source_release_ident, r.target_release_ident, r.match_provenance, r.match_status, r.match_reason) for r in convert.biblioref_from_pairs(lines).collect()}
+    assert got == {("s", "t", "join", "", ""), ("s", "t", "fuzzycat/ebee2de", "STRONG", "X")}
+
+
+def test_json(spark):
+    lines = spark.createDataFrame([('{"biblio":{"title":"T","contrib_raw_names":["A"]},"release_year":2000,"index":1,"key":"k-BIB1"}',), ("not json",)], "value string")
+    refs = schemas.decode(lines, schemas.REF)
+    assert refs.count() == 1
+    r = refs.first()
+    assert (r.biblio.title, r.biblio.doi, r.work_ident, r["index"]) == ("T", "", "", 1)
+    rel = convert.ref_to_release(refs).first()
+    assert (rel.release_year, rel.contribs[0].raw_name, rel.extra.skate.status, rel.extra.skate.ref["index"]) == ("2000", "A", "ref", 1)
+    assert extract.from_unstructured(refs).first().biblio.doi == "k"
+    with pytest.raises(Exception):
+        schemas.decode(lines, schemas.REF, best_effort=False).collect()
+    out = schemas.encode(spark.createDataFrame([("", 0, "x")], "a string, b int, c string")).first().value
+    assert out == '{"c":"x"}'
+
+
+def test_files(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "k", '{"a":\t1}'), ("2", "", "x")], "ident string, key string, doc string")
+    files.write_keyed(rows, str(tmp_path / "keyed"))
+    assert {tuple(r) for r in files.read_keyed(spark, str(tmp_path / "keyed")).collect()} == {("1", "k", '{"a":1}'), ("2", "", "x")}
+    c = spark.createDataFrame([('q"k', ['{"i":1}', '{"i":2}'])], "key string, docs array<string>")
+    files.write_clusters(c, str(tmp_path / "c"))
+    assert json.loads(spark.read.text(str(tmp_path / "c")).first().value) == {"k": 'q"k', "v": [{"i": 1}, {"i": 2}]}
+    m = spark.createDataFrame([("p", "r", "strong", "x")], "pivot_ident string, ref_ident string, status string, reason string")
+    files.write_matches(m, str(tmp_path / "m"))
+    assert spark.read.text(str(tmp_path / "m")).first().value == "p r StatusStrong Reasonx"
+
+
+def test_doi_in_line(spark):
+    lines = spark.createDataFrame([("a,see 10.1/x ok,c",), ("one",)], "value string")
+    assert [r.value for r in extract.doi_in_line(lines, ",", 2, best_effort=True).collect()] == ["a,10.1/x,c"]
+    with pytest.raises(Exception):
+        extract.doi_in_line(lines, ",", 2).collect()
+
+
+def test_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"biblio":{"title":"The Lakes"},"release_ident":"r1","key":"k"}\n\n{"biblio":{},"release_ident":"r2"}')
+    out = streams.keyed_refs(streams.read_line_stream(spark, str(tmp_path / "in")), "tnorm").select("ident", "key")
+    streams.write_stream(out, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("r1", "thelakes")]
+    lines = spark.createDataFrame([("a",), ("b",)], "value string")
+    assert [r.value for r in streams.map_lines(lines, lambda x: x.upper() if x == "a" else None).collect()] == ["A"]
+
+
+def test_blacklist_table(spark):
+    table = spark.createDataFrame([Row(title="x"), Row(title="y")])
+    assert load(table).titles == {"x", "y"}
+    with pytest.raises(ValueError):
+        load(table, most=1)
+
+
+def test_derive_key_skips_empty(spark):
+    rows = spark.createDataFrame([(" 1 ", "A b"), ("2", "!!"), ("3", None)], "ident string, title string")
+    assert [(r.ident, r.key) for r in derive_key(rows, "tnorm", skip_empty=True).collect()] == [("1", "ab")]
+    assert derive_key(rows, "tnorm").filter(F.col("key") == "").count() == 2
