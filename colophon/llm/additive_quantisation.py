@@ -42,7 +42,7 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c * c).sum(1) - 2 * (x @ c.T)).argmin(1)
 
 
-def encode(x: np.ndarray, books: Codebooks, beam: int = 8, batch: int = 512) -> np.ndarray:
+def encode(x: np.ndarray, books: Codebooks, beam: int = 4, batch: int = 512) -> np.ndarray:
     """Codes (rows, books) uint8: for each vector the best sum that a beam search over the codebooks in turn finds."""
     m, k, _ = books.words.shape
     flat = books.flat
@@ -73,7 +73,7 @@ def decode(codes: np.ndarray, books: Codebooks) -> np.ndarray:
     return sum(books.words[j][codes[:, j]] for j in range(codes.shape[1]))
 
 
-def train(x: np.ndarray, n_books: int = 8, n_words: int = 256, rounds: int = 3, beam: int = 4, seed: int = 3) -> Codebooks:
+def train(x: np.ndarray, n_books: int = 16, n_words: int = 256, rounds: int = 2, beam: int = 4, seed: int = 3) -> Codebooks:
     rng = np.random.default_rng(seed)
     n_words = int(max(1, min(n_words, 256, len(x) // 2)))
     rest, books = x.copy(), []
@@ -160,7 +160,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 64, n_books: int = 8, max_train: int = 4096, block: int = 8192, query_block: int = 512) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 256, n_books: int = 16, max_train: int = 8192, block: int = 65_536, query_block: int = 256) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose id ``every`` divides, its k nearest other rows by cosine."""
     rows = usable(vectors)
     index = cut(_distinct(rows, k + 1).select(F.sha2("key", 256).alias("v"), "key", "ids"))
@@ -170,27 +170,28 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 64, n
         return index.sparkSession.createDataFrame([], empty) if not sample else _finish(_self_pairs(index), rows, every, k)
     books = index.sparkSession.sparkContext.broadcast(train(_unit(_matrix([r.key for r in sample])), n_books))
 
+    def coded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for a in range(0, batch.num_rows, 2048):
+                piece = batch.slice(a, 2048)
+                codes = encode(_unit(_matrix(piece.column("key").to_pylist())), books.value)
+                norms = np.sqrt((decode(codes, books.value) ** 2).sum(1)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([piece.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], ["v", "code", "norm"])
+
     def code_blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_v, held_c, held_n = [], [], []
+        held: list[pa.RecordBatch] = []
 
         def out():
-            codes, norms = np.concatenate(held_c), np.concatenate(held_n)
-            cols = [pa.array([held_v.copy()], pa.list_(pa.string())), pa.array([codes.tobytes()], pa.binary()), pa.array([norms.tobytes()], pa.binary())]
-            for x in (held_v, held_c, held_n):
-                x.clear()
+            t = pa.Table.from_batches(held)
+            held.clear()
+            cols = [pa.array([t.column("v").to_pylist()], pa.list_(pa.string())), pa.array([b"".join(t.column("code").to_pylist())], pa.binary()), pa.array([t.column("norm").to_numpy().astype("<f4").tobytes()], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["vs", "codes", "norms"])
 
         for batch in parts:
-            for a in range(0, batch.num_rows, block):
-                piece = batch.slice(a, block)
-                x = _unit(_matrix(piece.column("key").to_pylist()))
-                codes = encode(x, books.value)
-                held_v.extend(piece.column("v").to_pylist())
-                held_c.append(codes)
-                held_n.append(np.sqrt((decode(codes, books.value) ** 2).sum(1)).astype("<f4"))
-                if len(held_v) >= block:
-                    yield out()
-        if held_v:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= block:
+                yield out()
+        if held:
             yield out()
 
     def query_blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +203,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 64, n
 
     n_codes = index.count()
     parts = max(1, -(-n_codes // block))
-    coded = index.select("v", "key").repartition(parts, "v").sortWithinPartitions("v").mapInArrow(code_blocks, "vs array<string>, codes binary, norms binary")
+    codes = index.select("v", "key").mapInArrow(coded, "v string, code binary, norm float")
+    codes = codes.repartition(parts, "v").sortWithinPartitions("v").mapInArrow(code_blocks, "vs array<string>, codes binary, norms binary")
     asked = rows.filter(F.col("id") % every == 0)
     # each query vector once, found by its place in the index
     queries = cut(index.select("v", "key").join(_keys(asked).select("v").distinct(), "v", "left_semi"))
@@ -210,7 +212,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 64, n
     groups = max(1, -(-n_queries // query_block))
     q = cut(queries.repartition(groups, "v").sortWithinPartitions("v").mapInArrow(query_blocks, "qs array<string>, keys array<binary>").withColumn("g", F.monotonically_increasing_id()))
     ids = F.array(*[F.lit(r.g) for r in q.select("g").orderBy("g").collect()])  # a number per block of queries
-    met = coded.withColumn("g", F.explode(ids)).join(q, "g")
+    met = codes.withColumn("g", F.explode(ids)).join(q, "g")
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = books.value.flat
