@@ -51,5 +51,5 @@ def test_jaccard(spark, a, b, want):
 def test_sets(spark):
     df = spark.createDataFrame([(["2", "3", "4", "8"], ["1", "2"], [])], "a array<string>, b array<string>, e array<string>")
     a, b, e = F.col("a"), F.col("b"), F.col("e")
-    row = df.select(sets.top_k(a, 2).alias("k"), sets.size(sets.union(a, b)).alias("u"), sets.intersection(a, b).alias("i"), sets.equals(a, a).alias("q"), sets.largest().alias("hi"), sets.smallest().alias("lo"), sets.average_score(F.array(a), e.cast("array<array<string>>")).alias("s"), sets.join(sets.add(b, F.lit("0")), ",").alias("j"), F.size(sets.product(a, b)).alias("p")).first()
+    row = df.select(sets.top_k(a, 2).alias("k"), sets.size(sets.union(a, b)).alias("u"), sets.intersection(a, b).alias("i"), sets.equals(a, a).alias("q"), sets.largest().alias("hi"), sets.smallest().alias("lo"), sets.average_score(F.array(a), F.slice(F.array(e), 1, 0)).alias("s"), sets.join(sets.add(b, F.lit("0")), ",").alias("j"), F.size(sets.product(a, b)).alias("p")).first()
     assert (row.k, row.u, row.i, row.q, row.hi, row.lo, row.s, row.j, row.p) == (["2", "3"], 5, ["2"], True, 0, 2147483647, 0.0, "0,1,2", 8)
