@@ -14,14 +14,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain
+import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of the cache of chunks, after which it starts anew: bounds a worker's memory.
-CACHE = 150_000
+CACHE = 250_000
 #: White space as the pattern's engine knows it (fixed values: the property White_Space).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -50,10 +51,63 @@ class Recent(dict):
         return got
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Uncut(Exception):
+    """A text that can't be cut at its spaces."""
+
+
+class Encoder:
+    """Texts to ids, by a function that encodes one piece of the pre-tokenizer.
+
+    Texts are cut at single spaces between other characters, where the pattern always cuts. What stands between is mostly a
+    word, and its ids are kept for a while, as little-endian 32-bit numbers, so a text's ids are one join.
+    """
+
+    def __init__(self, encode_piece, pattern: str):
+        import regex
+
+        self.pieces = Recent(lambda p: _packed(encode_piece(p)), 20_000)
+        self.encode_piece = encode_piece
+        self.words = Recent(self._word)
+        self.cut = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
+        white = regex.compile(f"[{WHITE}]")
+        self.blank = frozenset(c for c in map(chr, range(0x3001)) if white.match(c))
+
+    def _word(self, word: str) -> bytes:
+        """A word after a space. White space beside a space is encoded with it: then texts can't be cut here."""
+        if word.isalpha():
+            return _packed(self.encode_piece(" " + word))
+        if not word or word[0] in self.blank or word[-1] in self.blank:
+            raise Uncut
+        body = word[:-1]
+        if word[-1:] in (".", ",") and body.isalpha():
+            return self.words[body] + self.pieces[word[-1]]
+        return self._pieces(" " + word)
+
+    def _pieces(self, text: str) -> bytes:
+        words, pieces = self.words, self.pieces
+        return b"".join([words[p[1:]] if p[0] == " " and p[1:].isalpha() else pieces[p] for p in self.cut(text)])
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint32)
+        words = text.split(" ")
+        first, words[0] = words[0], "the"
+        try:
+            if not first or len(words) > 1 and first[-1] in self.blank:
+                raise Uncut
+            ids = b"".join(map(self.words.__getitem__, words))
+        except Uncut:
+            return np.frombuffer(self._pieces(text), "<u4")
+        return np.frombuffer(self._pieces(first) + ids[len(self.words["the"]) :], "<u4")
+
+
 class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import ahocorasick
-        import regex
 
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
@@ -73,10 +127,7 @@ class ByteBPE:
         self.length = {i: len(t) for i, t in self.bytes_of.items()}
         self.shorter: dict[int, int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces = Recent(lambda piece: tuple(self.encode_piece(piece.encode())))
-        self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
-        #: Where a space has white space beside it, chunks can't be cut at spaces.
-        self.odd = regex.compile(rf"[{WHITE}] | [{WHITE}]|^ | $")
+        self.pattern = pattern
 
     def _merge(self, token: bytes, below: int) -> list[int]:
         """Merging by rank, with ranks under ``below`` only."""
@@ -174,22 +225,8 @@ class ByteBPE:
                 at -= length[token]
         return out
 
-    def encode_chunk(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text))))
-
-    def encoder(self):
-        """A function from text to ids. Texts are cut at single spaces, and the ids of chunks are kept for a while."""
-        cache, odd = Recent(lambda word: self.encode_chunk(" " + word), CACHE // 2), self.odd
-
-        def encode(text: str | None) -> list[int]:
-            if not text:
-                return []
-            if odd.search(text):
-                return list(self.encode_chunk(text))
-            first, *words = text.split(" ")
-            return [*self.encode_chunk(first), *chain.from_iterable(map(cache.__getitem__, words))]
-
-        return encode
+    def encoder(self) -> Encoder:
+        return Encoder(lambda piece: self.encode_piece(piece.encode()), self.pattern)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -198,7 +235,7 @@ class ByteBPE:
 _LOADED: dict = {}
 
 
-def loaded(path: str, pattern: str) -> tuple[ByteBPE, object, list[str]]:
+def loaded(path: str, pattern: str) -> tuple[ByteBPE, Encoder, list[str]]:
     """The encoder of this worker process, made once."""
     if (path, pattern) not in _LOADED:
         bpe = ByteBPE(load_ranks(path), pattern)
@@ -235,7 +272,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe, encode, names = loaded(path, pattern)
         rows = []
         for t in texts:
-            ids = encode(t)
+            ids = encode(t).tolist()
             rows.append((len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 

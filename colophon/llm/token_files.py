@@ -17,13 +17,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import Recent, WHITE
-from .common import shared_dir, shuffle_partitions
+from .byte_bpe import Encoder
+from .common import shared_dir, shuffle_partitions, small_batches
 
 BLOCK_IDS = 1 << 19
 
@@ -57,53 +56,41 @@ def unpack(packed: bytes, width: int, n: int, start: int = 0) -> np.ndarray:
 _ENCODERS: dict = {}
 
 
-def library_encoder(path: str, pattern: str):
-    """A function from text to ids by the tokenizers library. Its pre-tokenizer cuts a text by ``pattern`` and encodes each
-    piece alone; so pieces are encoded by the library once and kept for a while."""
-    if path in _ENCODERS:
-        return _ENCODERS[path]
-    import os
-    from itertools import chain
+def library_encoder(path: str, pattern: str) -> Encoder:
+    """Texts to ids by the tokenizers library, one for each worker process. The library cuts a text by ``pattern`` and
+    encodes each piece alone; so it is asked for each piece once, and what it gave is kept for a while."""
+    if path not in _ENCODERS:
+        import os
 
-    import regex
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
-    cut = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
-    odd = regex.compile(rf"[{WHITE}] | [{WHITE}]|^ | $").search
-    pieces = Recent(lambda p: tuple(tok.encode(p, add_special_tokens=False).ids))
-    chunk = lambda t: tuple(chain.from_iterable(map(pieces.__getitem__, cut(t))))
-    cache = Recent(lambda w: chunk(" " + w), 75_000)
-
-    def encode(text: str | None) -> list[int]:
-        if not text:
-            return []
-        if odd(text):
-            return list(chunk(text))
-        first, *words = text.split(" ")
-        return [*chunk(first), *chain.from_iterable(map(cache.__getitem__, words))]
-
-    _ENCODERS[path] = encode
-    return encode
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        _ENCODERS[path] = Encoder(lambda piece: tok.encode(piece, add_special_tokens=False).ids, pattern)
+    return _ENCODERS[path]
 
 
 def write_token_file(docs: DataFrame, out: str, tokenizer: str, pattern: str, vocabulary: int, end_id: int = 0) -> None:
     """Encodes the texts of docs (doc_id, text) and writes them to the folder ``out`` in ascending doc_id order."""
     spark, width = docs.sparkSession, bits_for(vocabulary)
     n = shuffle_partitions(spark)
+    small_batches(spark)
     cuts = sorted({int(x) for x in docs.select(F.col("doc_id").cast("double").alias("d")).na.drop().approxQuantile("d", [i / n for i in range(1, n)], 0.002)}) if n > 1 else []
     part = F.lit(len(cuts) + 1) if not cuts else F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))))
 
-    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = library_encoder(tokenizer, pattern)
-        for x in parts:
-            ids = [np.array([*one(t), end_id], np.uint32) for t in x["text"]]
-            yield pd.DataFrame({"part": x["part"], "doc_id": x["doc_id"], "n": [len(i) for i in ids], "ids": [pack(i, width) for i in ids]})
+    end = np.array([end_id], "<u4")
 
-    coded = docs.select(part.cast("int").alias("part"), "doc_id", "text").mapInPandas(encode, "part int, doc_id long, n long, ids binary")
+    def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = library_encoder(tokenizer, pattern)
+        for whole in parts:
+            for at in range(0, whole.num_rows, 256):  # small batches bound the memory
+                batch = whole.slice(at, 256)
+                ids = [np.concatenate([one(t.as_py()), end]) for t in batch.column("text")]
+                packed = pa.array([pack(i, width) for i in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), packed], ["part", "doc_id", "n", "ids"])
+
+    coded = docs.select(part.cast("int").alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "part int, doc_id long, n long, ids binary")
     ordered = coded.repartition(n, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "ids")
 
     def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
