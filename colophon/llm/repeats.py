@@ -39,7 +39,7 @@ PLACE_BITS = 28
 LAST_ID = (1 << 63) - 1
 #: Occurrences of an anchor that go to one salt, on average.
 SALT_ROWS = 512
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Blocks for each partition: a block is in a worker's memory as a whole.
 BLOCKS = 3
 
