@@ -290,7 +290,10 @@ def extract(page: str | None, weights: np.ndarray) -> str:
 
 def fit_weights(pages: DataFrame, max_pages: int = 400, penalty: float = 200.0) -> np.ndarray:
     """PRIOR, fitted to blocks whose structure says what they are, in a sample of at most ``max_pages`` pages."""
-    some = pages.select("html").filter(F.length("html") > 0).orderBy(F.xxhash64("html"), "html").limit(max_pages).collect()
+    hashed = pages.select("html", F.xxhash64("html").alias("h")).filter(F.length("html") > 0)
+    # the least hashes first, then their pages: what tasks send does not grow with their number
+    last = hashed.select("h").distinct().orderBy("h").limit(max_pages).agg(F.max("h")).first()[0]
+    some = hashed.filter(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()
     x, y = [], []
     for r in some:
         for b in blocks_of(r.html):
