@@ -164,7 +164,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 256,
     """query_id, rank (from 1), vec_id, score: for each row whose id ``every`` divides, its k nearest other rows by cosine."""
     rows = usable(vectors)
     index = cut(_distinct(rows, k + 1).select(F.sha2("key", 256).alias("v"), "key", "ids"))
-    sample = index.select("v", "key").orderBy("v").limit(max_train).collect()  # bounded by max_train
+    last = index.select("v").orderBy("v").limit(max_train).agg(F.max("v")).first()[0]
+    sample = index.select("v", "key").filter(F.col("v") <= F.lit(last)).orderBy("v").collect()  # max_train rows at most
     empty = "query_id long, rank int, vec_id long, score double"
     if len(sample) < 2:
         return index.sparkSession.createDataFrame([], empty) if not sample else _finish(_self_pairs(index), rows, every, k)
