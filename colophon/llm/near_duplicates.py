@@ -12,7 +12,7 @@ by 64-bit hashes. Two documents link if 100 * intersection >= percent * union.
    are first compared with one of them, its hub: the one with the fewest n-grams of its own. Within a group all members
    are compared with its first. Sets that link are in one component.
 4. What is left to compare, exactly: for each n-gram, members of different components, of which one isn't in the
-   n-gram's largest component, that pass the bounds on size and on common n-grams. Every pair that could still join two
+   n-gram's largest component, that pass the bounds on size, common n-grams and place in the order. Every pair that could still join two
    components is verified, so the components are those of all links, though not all links of a component are made.
 
 Defined cases: texts without words and null texts have the empty set and link with nothing, not even each other; a null
@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import cut, release, shuffle_partitions, utf8
+from .common import cut, release, shuffle_partitions, small_batches, utf8
 from .components import components
-from .repeats import ANSWERS, BASES, HASHES, LAST_ID, Rolling, _chunks, answers, block_hashes, bucket_of, count_narrow_hashes, digest, look_up, mix, order_id, word_tokens
+from .repeats import ANSWERS, BASES, BLOCKS, HASHES, LAST_ID, Rolling, _chunks, answers, block_hashes, bucket_of, count_narrow_hashes, digest, look_up, mix, order_id, word_tokens
 
 LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
@@ -62,8 +62,8 @@ def least_overlap(n: np.ndarray | int, percent: int):
     return -(-percent * n // 100)
 
 
-def _to_blocks(docs: DataFrame, n_blocks: int, size: int) -> DataFrame:
-    names = docs.columns
+def _to_blocks(docs: DataFrame, n_parts: int, size: int) -> DataFrame:
+    names, n_blocks = docs.columns, BLOCKS * n_parts
     schema = StructType([*docs.schema.fields, StructField("__sig", StringType()), StructField("__block", IntegerType()), StructField("__copy", BooleanType()), StructField("__n", LongType())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +86,7 @@ def _to_blocks(docs: DataFrame, n_blocks: int, size: int) -> DataFrame:
             extra = [pa.array([g.hex() for g in sigs]), pa.array([k % n_blocks for k in keys], pa.int32()), pa.array(copy, pa.bool_()), pa.array([len(s) for s in sets], pa.int64())]
             yield pa.RecordBatch.from_arrays([*cols, *extra], [*names, "__sig", "__block", "__copy", "__n"])
 
-    return docs.mapInArrow(run, schema).repartition(n_blocks, "__block")
+    return docs.mapInArrow(run, schema).repartition(n_parts, "__block")
 
 
 def _firsts(table) -> dict[str, int]:
@@ -102,6 +102,7 @@ def _firsts(table) -> dict[str, int]:
 def _sets_in_blocks(docs: DataFrame, size: int, percent: int, keep_text: bool) -> DataFrame:
     """All rows of docs with __sig, __n, __min (least id with that set), __first; for sets that may link, on their first row, __r (n-grams found in several sets), __prefix (of those, in order) and __set."""
     n_parts = shuffle_partitions(docs.sparkSession)
+    small_batches(docs.sparkSession)
     blocks = _to_blocks(docs, n_parts, size)
     names = [c for c in docs.columns if keep_text or c != "text"]
 
@@ -178,6 +179,14 @@ def _may_link(percent: int, x: str, y: str) -> str:
     return f"100 * least({x}__n, {y}__n) >= {percent} * greatest({x}__n, {y}__n) AND 100 * {most} >= {percent} * ({x}__n + {y}__n - {most})"
 
 
+def _enough_left(percent: int, x: str, y: str) -> str:
+    """Bound on place: if this n-gram is the first that two sets have in common, they have no more in common than either has from it on.
+
+    Sets that link pass at their first common n-gram at least. __left counts the n-grams from this one to the set's end.
+    """
+    return " AND ".join(f"{100 + percent} * {s}__left >= {percent} * ({x}__n + {y}__n)" for s in (x, y))
+
+
 def _linked(docs: DataFrame, size: int, percent: int, keep_text: bool) -> DataFrame:
     """All rows of docs with __sig, __n, __min, __first and __component."""
     rows = cut(_sets_in_blocks(docs, size, percent, keep_text))
@@ -197,13 +206,13 @@ def _linked(docs: DataFrame, size: int, percent: int, keep_text: bool) -> DataFr
     links = cut(_verified(inside.union(between).distinct(), sets, percent))
     roots = components(links)
     # what may still join two components
-    named = grouped.join(roots, F.col("__sig") == F.col("node"), "left").select("__sig", "__n", "__r", F.coalesce("root", "__sig").alias("__root"), F.explode("__prefix").alias("__gram"))
-    named = cut(named)
+    named = grouped.join(roots, F.col("__sig") == F.col("node"), "left").select("__sig", "__n", "__r", F.coalesce("root", "__sig").alias("__root"), F.posexplode("__prefix").alias("__at", "__gram"))
+    named = cut(named.withColumn("__left", F.col("__r") - F.col("__at")))
     large = named.groupBy("__gram", "__root").agg(F.count(F.lit(1)).alias("c")).groupBy("__gram").agg(F.max(F.struct("c", "__root")).alias("__large"), F.count(F.lit(1)).alias("__roots"))
     large = large.filter("__roots > 1").select("__gram", F.col("__large.__root").alias("__major"))
     open_ = cut(named.join(large, "__gram"))
-    small = open_.filter("__root <> __major").select("__gram", F.col("__sig").alias("a"), F.col("__n").alias("a__n"), F.col("__r").alias("a__r"), F.col("__root").alias("a__root"))
-    met = small.join(open_, "__gram").filter("a__root <> __root").filter(_may_link(percent, "a", ""))
+    small = open_.filter("__root <> __major").select("__gram", F.col("__sig").alias("a"), F.col("__n").alias("a__n"), F.col("__r").alias("a__r"), F.col("__left").alias("a__left"), F.col("__root").alias("a__root"))
+    met = small.join(open_, "__gram").filter("a__root <> __root").filter(_may_link(percent, "a", "")).filter(_enough_left(percent, "a", ""))
     met = met.select(F.least("a", "__sig").alias("a"), F.greatest("a", "__sig").alias("b")).distinct()
     met = met.join(inside.union(between).distinct(), ["a", "b"], "left_anti")
     more = cut(_verified(met, sets, percent))
@@ -219,7 +228,7 @@ def _linked(docs: DataFrame, size: int, percent: int, keep_text: bool) -> DataFr
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """All rows and columns of docs but text, with n_shingles and component_id (the least doc_id that links reach)."""
-    out = _linked(docs, size, percent, False)
+    out = _linked(docs.drop("n_shingles", "component_id"), size, percent, False)
     return out.withColumnsRenamed({"__n": "n_shingles", "__component": "component_id"}).drop("__sig", "__min", "__first")
 
 
