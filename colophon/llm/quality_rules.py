@@ -2,8 +2,9 @@
 
 A line is normalised (lower case, single spaces, trimmed) and hashed. For each host (``source``) the distinct documents
 that hold a line are counted; copies of one text count once. A line found in more than ``max_share`` of the host's
-documents, and in ``min_docs`` at least, is boilerplate and is removed. A document is rejected if it fails the rules on
-its own text, or if the removal leaves less than ``min_left`` of its words.
+documents is boilerplate and is removed; ``min_docs`` only guards against chance, and decides in no host of 80 distinct
+documents or more. A document is rejected if it fails the rules on its own text, or if the removal leaves less than
+``min_left`` of its words.
 
 Defined cases. A null text is an empty text: no words, so the base rules reject it. A null source is a host of its own; a
 null doc_id is kept as it is. Repeated rows give repeated results. Empty tables give empty results. Columns other than
@@ -88,7 +89,7 @@ def _line_column(text: Column) -> Column:
     return F.transform(F.transform(lines, norm), both)
 
 
-def frequent_lines(docs: DataFrame, max_share: float = 0.05, min_docs: int = 50) -> DataFrame:
+def frequent_lines(docs: DataFrame, max_share: float = 0.05, min_docs: int = 5) -> DataFrame:
     """(__host, __h, n_docs): lines above the limits, by host."""
     lines = docs.select(F.col("source").alias("__host"), F.xxhash64("text").alias("__text"), F.explode(_line_column(F.col("text"))).alias("__line"))
     seen = lines.filter("__line.w > 0").select("__host", "__text", F.col("__line.h").alias("__h")).distinct()
@@ -98,7 +99,7 @@ def frequent_lines(docs: DataFrame, max_share: float = 0.05, min_docs: int = 50)
     return often.join(hosts, F.col("__host").eqNullSafe(F.col("__of"))).filter(F.col("n_docs") > max_share * F.col("__docs")).select("__host", "__h", "n_docs")
 
 
-def quality_rules(docs: DataFrame, max_share: float = 0.05, min_docs: int = 50, min_left: float = 0.2) -> DataFrame:
+def quality_rules(docs: DataFrame, max_share: float = 0.05, min_docs: int = 5, min_left: float = 0.2) -> DataFrame:
     """All rows and columns of docs, with the base columns, kept_words, kept, and ``clean_text`` without the frequent lines."""
     often = frequent_lines(docs, max_share, min_docs)
     own = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__t"), F.col("source").alias("__s"), F.explode(F.array_distinct(F.transform(_line_column(F.col("text")), lambda x: x.h))).alias("__own"))

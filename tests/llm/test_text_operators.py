@@ -61,6 +61,18 @@ def test_frequent_lines(spark):
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_frequent_lines_by_share(spark):
+    """The same share of a line has the same verdict in small and large hosts."""
+    line = " ".join(f"menu{k}" for k in range(60))
+    sizes = {"small": 20, "large": 2000, "tiny": 10}
+    shares = {"small": 6, "large": 600, "tiny": 4}
+    rows = [(n, (line if n < shares[s] else " ".join(f"{s}{n}y{k}" for k in range(60))) + "\n" + " ".join(f"{s}{n}x{k}" for k in range(10)), s) for s in sizes for n in range(sizes[s])]
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for r in out:
+        gone = r.source != "tiny" and r.doc_id < shares[r.source]  # four documents may agree by chance
+        assert (r.kept, r.kept_words) == ((False, 10) if gone else (True, 70)), r
+
+
 def targets(sizes, share=1.5):
     order = sorted(sizes, key=lambda s: (s is None, s))
     w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
