@@ -1,7 +1,8 @@
 """Matching: records of two sides, or of one cluster, that share a key.
 
 The pivot of a key is its first release by (ident, doc), found by an aggregate that combines before the shuffle, so a
-common key costs one row per task; references then join it. No key's rows are ever collected.
+common key costs one row per task; references then join it. Edges never need a key's rows in one place. Only zip_groups,
+whose result is one row per key, puts them there; zip_pieces gives the same in rows of bounded size.
 """
 
 from __future__ import annotations
@@ -20,12 +21,27 @@ def pivots(releases: DataFrame) -> DataFrame:
     return releases.filter("key <> ''").groupBy("key").agg(first.alias("a"))
 
 
+PIECE_BITS = 10
+
+
+def zip_pieces(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(key, side, piece, docs): the docs of side 0 and 1 for each key that both have, at most 1 << PIECE_BITS in a row. In the order of piece, docs are in order.
+
+    Rows are dealt by ranges of (key, side, doc), so a common key is spread; pieces are numbered across the ranges.
+    """
+    keys = left.select("key").filter("key <> ''").intersect(right.select("key"))
+    sided = lambda df, n: df.select("key", F.lit(n).alias("side"), "doc")
+    rows = sided(left, 0).union(sided(right, 1)).join(keys, "key", "left_semi")
+    rows = rows.repartitionByRange("key", "side", "doc").sortWithinPartitions("key", "side", "doc")
+    rows = rows.withColumn("piece", F.shiftright(F.monotonically_increasing_id(), PIECE_BITS))
+    return rows.groupBy("key", "side", "piece").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
+
+
 def zip_groups(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(key, g0, g1): the docs of both sides for each key that both have, in order."""
-    group = lambda df, name: df.filter("key <> ''").groupBy("key").agg(F.sort_array(F.collect_list("doc")).alias(name))
-    keys = left.select("key").intersect(right.select("key"))
-    only = lambda df: df.join(keys, "key", "left_semi")
-    return group(only(left), "g0").join(group(only(right), "g1"), "key")
+    """(key, g0, g1): the docs of both sides for each key that both have, in order. A key is one row, so one task must hold its docs; pieces arrive sorted and are only put one after another."""
+    pieces = lambda n: F.sort_array(F.collect_list(F.when(F.col("side") == n, F.struct("piece", "docs"))))
+    joined = lambda n: F.flatten(F.transform(pieces(n), lambda x: x.docs)).alias(f"g{n}")
+    return zip_pieces(left, right).groupBy("key").agg(joined(0), joined(1))
 
 
 def unmatched(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -75,6 +75,25 @@ def test_zip_groups(spark):
     assert {r.ident for r in match.unmatched(left, right).collect()} == {"5", "8"}
 
 
+def test_zip_pieces(spark):
+    """A common key comes in rows of bounded size."""
+    docs = lambda n: F.format_string("%06d", n).alias("doc")
+    n = F.col("id")
+    left = spark.range(9000).select(F.when(n % 3 == 0, "own").otherwise("hot").alias("key"), docs(n * 7919 % 9001))
+    right = spark.range(3000).select(F.when(n < 2, "own").when(n < 4, "").otherwise("hot").alias("key"), docs(n * 17 % 2999))
+    rows = match.zip_pieces(left, right).collect()
+    assert max(len(r.docs) for r in rows) <= 1024 and len([r for r in rows if (r.key, r.side) == ("hot", 0)]) >= 6
+    got = {}
+    for r in sorted(rows, key=lambda r: r.piece):
+        got.setdefault((r.key, r.side), []).extend(r.docs)
+    want = {}
+    for side, df in enumerate((left, right)):
+        for r in df.filter("key <> ''").orderBy("doc").collect():
+            want.setdefault((r.key, side), []).append(r.doc)
+    assert got == want
+    assert {(r.key, i): g for r in match.zip_groups(left, right).collect() for i, g in enumerate((r.g0, r.g1))} == want
+
+
 def test_biblioref_lines(spark):
     u = convert.RELEASE_URL
     lines = spark.createDataFrame([("k t s",), ("k same same",), (f"{u}t {u}s Status.STRONG Reason.X",), ("too few",), ("a b c d e",)], "value string")
