@@ -183,10 +183,10 @@ def blocks_of(page: str) -> list[Block]:
 
 def features(block: Block) -> list[float]:
     n = len(block.text)
-    letters = sum(map(str.isupper, block.text[:400]))
+    letters = sum(map(str.isupper, block.text))
     return [
         1.0, min(np.log1p(n), 7.0) - 3.0, min(1.0, block.link / n), float(block.text[-1] in ".!?…。\"'”»:"), float(block.tag in ("p", "blockquote", "pre")),
-        float(block.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(block.tag in ("li", "dt", "dd")), float(block.tag in ("td", "th", "caption")), float(n < 20), float(letters > 0.6 * min(n, 400)),
+        float(block.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(block.tag in ("li", "dt", "dd")), float(block.tag in ("td", "th", "caption")), float(n < 20), float(letters > 0.6 * n),
     ]
 
 

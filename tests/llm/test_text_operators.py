@@ -219,6 +219,12 @@ def test_html(spark):
     assert html_extraction.fit_weights(pages.limit(0)).tolist() == html_extraction.PRIOR.tolist()
 
 
+def test_upper_of_whole_block():
+    upper = html_extraction.FEATURES.index("upper")
+    of = lambda text: html_extraction.features(html_extraction.Block(text, 0, "p", 0.0, 0))[upper]
+    assert (of("A" * 400 + "b" * 2000), of("b" * 400 + "A" * 2000), of("A" * 50), of("b" * 50)) == (0.0, 1.0, 1.0, 0.0)
+
+
 def test_minimum_cut():
     rng = random.Random(4)
     for _ in range(300):
