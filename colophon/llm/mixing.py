@@ -8,8 +8,10 @@ the remaining budget sets how many more of each length. Which documents of a len
 
 Only counts by length reach one task: their number is bounded by the longest document, not by the corpus.
 
-Defined cases: null text has 0 words, takes none; a null source is a source; rows that are equal in every column are
-interchangeable, each is one document; an empty table gives an empty result. Columns of docs pass through.
+Defined cases: null text has 0 words, takes none; a null source is a source; a null doc_id is one like any other, and rows
+that share a doc_id are told apart by their text; rows that are equal in both are interchangeable, each is one document; a
+long text is one document of its length; an empty table gives an empty result. Columns of docs pass through; names that
+start with ``__`` are reserved.
 """
 
 from __future__ import annotations
@@ -79,12 +81,13 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.nda
         rest -= more * int(lengths[i])
     if rest <= 0:
         return take
-    # items: (words, index, documents), counts split into powers of two
-    span = rest + int(lengths[counts > take].min(initial=rest)) + 1
+    # items: (words, index, documents), counts split into powers of two. The nearest sum above the budget is less than the
+    # longest document above it: with more, one document could go.
+    span = rest + int(lengths[counts > take].max(initial=0)) + 1
     mask, reach = (1 << span) - 1, 1
     first = np.full(span, -1, np.int64)
     items: list[tuple[int, int, int]] = []
-    for i in np.flatnonzero((counts > take) & (lengths < span)):
+    for i in np.flatnonzero(counts > take):
         spare, k = int(min(counts[i] - take[i], span // lengths[i])), 1
         while spare > 0 and not reach >> rest & 1:
             k = min(k, spare)
@@ -120,7 +123,7 @@ def _plan(group: pd.DataFrame) -> pd.DataFrame:
 def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple = (5, 2, 1), seed: int = 17) -> DataFrame:
     """All rows and columns of docs, with __len, __size, __target and __taken: the words, its source's words and target, and the words taken."""
     docs = docs.withColumn("__len", count_words(F.col("text")))
-    small = docs.select("source", "doc_id", "__len")
+    small = docs.select("source", "doc_id", "text", "__len")
     hist = small.groupBy(F.col("source").alias("__source"), "__len").agg(F.count(F.lit(1)).alias("__n"))
     hist = cut(hist)
     sizes = hist.groupBy("__source").agg(F.sum(F.col("__len") * F.col("__n")).alias("__size"))
@@ -130,7 +133,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple = (5, 2, 1),
     plan = todo.select("__source", "__len", "__n", "__target").groupBy("__source").applyInPandas(_plan, "__source string, __len long, __copies long, __extra long")
     plan = cut(plan.join(named, F.col("__source").eqNullSafe(F.col("__of"))).drop("__of"))
     # The documents of a length, in hash order, are cut at the number to take: whole cells below it, a part of one cell.
-    hashed = F.xxhash64(F.lit(seed), "doc_id", "__len")
+    hashed = F.xxhash64(F.lit(seed), "doc_id", "text")
     cell = F.shiftrightunsigned(hashed, 56).cast("int")
     cells = small.groupBy(F.col("source").alias("__cs"), F.col("__len").alias("__cl"), cell.alias("__cc")).agg(F.count(F.lit(1)).alias("__cn"))
     cells = cells.join(plan, F.col("__cs").eqNullSafe(F.col("__source")) & (F.col("__cl") == F.col("__len")))
