@@ -6,8 +6,9 @@ rank would give if each two neighbours are compatible (merging their bytes gives
 tokens is memoised. Encoding takes the longest token at each place, shortens it while it isn't compatible with its left
 neighbour, and steps back where nothing fits; a place from which nothing fits is never tried twice, so the time is linear.
 
-Defined cases: null is the empty text with no tokens; any text decodes to exactly its UTF-8 bytes. Repeated rows give
-repeated results; other columns pass through.
+Defined cases: null is the empty text with no tokens; any text, however long, decodes to exactly its UTF-8 bytes. Repeated
+rows give repeated results; an empty table gives an empty result. Other columns pass through, but for those named like a
+result (``ids``, ``decoded``, ``__bpe``), which the result replaces.
 """
 
 from __future__ import annotations
@@ -15,14 +16,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of the cache of chunks, after which it starts anew: bounds a worker's memory.
-CACHE = 250_000
+#: Words whose ids a worker keeps, twice (a generation and the one before it): about 30 MB. They go when its task ends.
+CACHE = 100_000
+#: Pairs of neighbours whose compatibility a worker keeps, about 25 MB. They go too.
+PAIRS = 300_000
 #: White space as the pattern's engine knows it (fixed values: the property White_Space).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -33,76 +37,86 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
 
 
-class Recent(dict):
-    """What ``make`` gave for the keys lately asked for; what was asked for before the last turnover is kept one turn."""
-
-    def __init__(self, make, most: int = CACHE):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key):
-        got = self.old.pop(key, None)
-        if got is None:
-            got = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = got
-        return got
-
-
-def _packed(ids: list[int]) -> bytes:
+def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class Uncut(Exception):
-    """A text that can't be cut at its spaces."""
-
-
 class Encoder:
-    """Texts to ids, by a function that encodes one piece of the pre-tokenizer.
+    """Texts to ids, a batch at a time, as little-endian 32-bit numbers.
 
     Texts are cut at single spaces between other characters, where the pattern always cuts. What stands between is mostly a
-    word, and its ids are kept for a while, as little-endian 32-bit numbers, so a text's ids are one join.
+    word; the ids of the words lately met are kept. ``encode_words`` gives the ids of words, each after a space;
+    ``encode_text`` those of any text.
     """
 
-    def __init__(self, encode_piece, pattern: str):
+    def __init__(self, encode_words, encode_text, most: int = CACHE):
         import regex
 
-        self.pieces = Recent(lambda p: _packed(encode_piece(p)), 20_000)
-        self.encode_piece = encode_piece
-        self.words = Recent(self._word)
-        self.cut = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
+        self.encode_words, self.encode_text, self.most = encode_words, encode_text, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks = {m: encode_text(m) for m in ".,"}
+        self.cuts = regex.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])").split
         white = regex.compile(f"[{WHITE}]")
         self.blank = frozenset(c for c in map(chr, range(0x3001)) if white.match(c))
 
-    def _word(self, word: str) -> bytes:
-        """A word after a space. White space beside a space is encoded with it: then texts can't be cut here."""
-        if word.isalpha():
-            return _packed(self.encode_piece(" " + word))
-        if not word or word[0] in self.blank or word[-1] in self.blank:
-            raise Uncut
-        body = word[:-1]
-        if word[-1:] in (".", ",") and body.isalpha():
-            return self.words[body] + self.pieces[word[-1]]
-        return self._pieces(" " + word)
-
-    def _pieces(self, text: str) -> bytes:
-        words, pieces = self.words, self.pieces
-        return b"".join([words[p[1:]] if p[0] == " " and p[1:].isalpha() else pieces[p] for p in self.cut(text)])
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
+    def _learn(self, words: list[str]) -> None:
+        """Sees to it that ``young`` knows the words, of which it knows none."""
+        young, old, marks = self.young, self.old, self.marks
+        marked, new = [], []
+        for w in words:
+            if w in old:
+                young[w] = old.pop(w)
+            elif w[-1] in marks and w[:-1].isalpha():  # a word before a comma or a full stop is a piece, so is the mark
+                marked.append(w)
+            else:
+                new.append(w)
+        bodies = {w[:-1] for w in marked if w[:-1] not in young}.difference(new)
+        for w in bodies:
+            if w in old:
+                young[w] = old.pop(w)
+            else:
+                new.append(w)
+        young.update(zip(new, self.encode_words(new)))
+        young.update((w, young[w[:-1]] + marks[w[-1]]) for w in marked)
+
+    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        blank, young = self.blank, self.young
+        lists = [t.split(" ") if t else [] for t in texts]
+        words: set[str] = set()
+        for x in lists:
+            words.update(islice(x, 1, None))
+        # White space beside a space is encoded with it: no cut there. Words that are known have been looked at.
+        new = [w for w in words if w not in young]
+        bad = {w for w in new if not w or w[0] in blank or w[-1] in blank}
+        again = False
+        for i, x in enumerate(lists):
+            if len(x) > 1 and (not x[0] or x[0][-1] in blank or bad and not bad.isdisjoint(x)):
+                lists[i] = self.cuts(texts[i])
+                words.update(islice(lists[i], 1, None))
+                again = True
+        if again:
+            new = [w for w in words if w and w not in young and w[0] not in blank and w[-1] not in blank]
+        self._learn(new)
+        out, known = [], self.young.__getitem__
+        for x in lists:
+            if not x:
+                out.append(np.zeros(0, np.uint32))
+                continue
+            last = x.pop() if len(x) > 1 and x[-1][-1] in blank else ""
+            ids = [self.encode_text(x[0]), *map(known, islice(x, 1, None))]
+            if last:
+                ids.append(self.encode_text(" " + last))
+            out.append(np.frombuffer(b"".join(ids), "<u4"))
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        return out
 
     def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        words = text.split(" ")
-        first, words[0] = words[0], "the"
-        try:
-            if not first or len(words) > 1 and first[-1] in self.blank:
-                raise Uncut
-            ids = b"".join(map(self.words.__getitem__, words))
-        except Uncut:
-            return np.frombuffer(self._pieces(text), "<u4")
-        return np.frombuffer(self._pieces(first) + ids[len(self.words["the"]) :], "<u4")
+        return self.batch([text])[0]
 
 
 class ByteBPE:
@@ -126,7 +140,7 @@ class ByteBPE:
         self.trie = trie
         self.length = {i: len(t) for i, t in self.bytes_of.items()}
         self.shorter: dict[int, int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by both ids in one number
         self.pattern = pattern
 
     def _merge(self, token: bytes, below: int) -> list[int]:
@@ -149,7 +163,7 @@ class ByteBPE:
         The border is undone step by step: always the younger of the two inner tokens is split, and a merge of what then
         stands at the border counts if it is older than what was split.
         """
-        known = self.fits.get((left, right))
+        known = self.fits.get(left << 20 | right)
         if known is not None:
             return known
         a, b, limit, fits = left, right, 1 << 60, True
@@ -166,9 +180,9 @@ class ByteBPE:
                 limit, b = b + 1, parts[b][0]
             else:
                 break
-        if len(self.fits) >= 4 * CACHE:
+        if len(self.fits) >= PAIRS:
             self.fits.clear()
-        self.fits[left, right] = fits
+        self.fits[left << 20 | right] = fits
         return fits
 
     def _shorter(self, token: int) -> int:
@@ -192,7 +206,7 @@ class ByteBPE:
         fits, last = self.fits, tokens[0]
         for i in range(1, len(tokens)):
             token = tokens[i]
-            ok = fits.get((last, token))
+            ok = fits.get(last << 20 | token)
             if not (self.compatible(last, token) if ok is None else ok):
                 return self._backtrack(text, tokens[:i], token)
             last = token
@@ -209,7 +223,7 @@ class ByteBPE:
                 if at + length[token] not in shut:
                     if last < 0:
                         break
-                    ok = fits.get((last, token))
+                    ok = fits.get(last << 20 | token)
                     if self.compatible(last, token) if ok is None else ok:
                         break
                 short = shorter.get(token)
@@ -226,7 +240,18 @@ class ByteBPE:
         return out
 
     def encoder(self) -> Encoder:
-        return Encoder(lambda piece: self.encode_piece(piece.encode()), self.pattern)
+        import regex
+
+        cut = regex.compile(self.pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
+        piece = self.encode_piece
+
+        def text(t: str) -> bytes:
+            return packed([i for p in cut(t) for i in piece(p.encode())])
+
+        def words(new: list[str]) -> list[bytes]:
+            return [packed(piece((" " + w).encode())) if w.isalpha() else text(" " + w) for w in new]
+
+        return Encoder(words, text)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -243,26 +268,38 @@ def loaded(path: str, pattern: str) -> tuple[ByteBPE, Encoder, list[str]]:
     return _LOADED[path, pattern]
 
 
-def _udf(make, schema: str):
+def _udf(make, schema: str, path: str, pattern: str):
     from collections.abc import Iterator
 
     def run(parts):
-        for x in parts:
-            yield make(x)
+        encode = loaded(path, pattern)[1]
+        try:
+            for x in parts:
+                yield make(x)
+        finally:
+            encode.forget()
+            loaded(path, pattern)[0].fits.clear()
 
     out = pd.DataFrame if " " in schema else pd.Series
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[out]}
     return F.pandas_udf(run, schema)
 
 
+def _pieces(x: pd.Series, rows: int = 256):
+    """Small batches bound what a worker holds."""
+    return (x.iloc[i : i + rows].tolist() for i in range(0, len(x), rows))
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs with a column ``ids`` (array of int): the encoding of the column text."""
-    return docs.withColumn("ids", _udf(lambda x: pd.Series([loaded(path, pattern)[1](t) for t in x], dtype=object), "array<int>")(F.col("text")))
+    """docs with a column ``ids`` (array of int), which replaces one of that name: the encoding of the column text."""
+    encode = lambda x: pd.Series([i for part in _pieces(x) for i in loaded(path, pattern)[1].batch(part)], dtype=object)
+    return docs.withColumn("ids", _udf(encode, "array<int>", path, pattern)(F.col("text")))
 
 
 def decode_ids(rows: DataFrame, path: str, pattern: str) -> DataFrame:
-    """rows with a column ``decoded`` (binary): the decoding of the column ids; null has none."""
-    return rows.withColumn("decoded", _udf(lambda x: pd.Series([None if i is None else loaded(path, pattern)[0].decode(i.tolist()) for i in x], dtype=object), "binary")(F.col("ids")))
+    """rows with a column ``decoded`` (binary), which replaces one of that name: the decoding of the column ids; null has none."""
+    decode = lambda x: pd.Series([None if i is None else loaded(path, pattern)[0].decode(i.tolist()) for i in x], dtype=object)
+    return rows.withColumn("decoded", _udf(decode, "binary", path, pattern)(F.col("ids")))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -271,9 +308,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def digest(texts: pd.Series) -> pd.DataFrame:
         bpe, encode, names = loaded(path, pattern)
         rows = []
-        for t in texts:
-            ids = encode(t).tolist()
-            rows.append((len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
+        for part in _pieces(texts):
+            for ids in encode.batch(part):
+                ids = ids.tolist()
+                rows.append((len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.withColumn("__bpe", _udf(digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")(F.col("text")))
+    return docs.withColumn("__bpe", _udf(digest, "n_tokens long, ids_sha256 string, decoded_sha256 string", path, pattern)(F.col("text")))

@@ -45,7 +45,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = token_files.new_token_folder(spark)
-    token_files.write_token_file(docs, folder, LIBRARY_BPE, public_tokenizers.PATTERN, LIBRARY_VOCABULARY)
+    token_files.write_token_file(docs, folder, LIBRARY_BPE, LIBRARY_VOCABULARY)
     return token_files.read_token_file(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

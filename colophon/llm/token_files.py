@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import Encoder
+from .byte_bpe import Encoder, packed
 from .common import shared_dir, shuffle_partitions, small_batches
 
 BLOCK_IDS = 1 << 19
@@ -56,22 +56,59 @@ def unpack(packed: bytes, width: int, n: int, start: int = 0) -> np.ndarray:
 _ENCODERS: dict = {}
 
 
-def library_encoder(path: str, pattern: str) -> Encoder:
-    """Texts to ids by the tokenizers library, one for each worker process. The library cuts a text by ``pattern`` and
-    encodes each piece alone; so it is asked for each piece once, and what it gave is kept for a while."""
-    if path not in _ENCODERS:
+class LibraryEncoder:
+    """Texts to ids by the tokenizers library, as it is set up by its file.
+
+    The library cuts a text by its pattern, writes each piece in its byte-level alphabet and gives it to its model. A word of
+    letters is one piece, so the words that the worker doesn't know yet go to the model as they are; anything else goes to
+    the library whole, and so do texts that hold the string of an added token, at which the library cuts first.
+    """
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        _ENCODERS[path] = Encoder(lambda piece: tok.encode(piece, add_special_tokens=False).ids, pattern)
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tok = Tokenizer.from_file(path)
+        added = [regex.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(added)).search if added else lambda t: None
+        # the alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = iter(range(256, 512))
+        self.letters = {b: b if b in plain else next(rest) for b in range(256)}
+        if set(map(chr, self.letters.values())) != set(pre_tokenizers.ByteLevel.alphabet()):
+            raise ValueError("another byte-level alphabet")
+        self.encoder = Encoder(self._words, self._text)
+
+    def _text(self, text: str) -> bytes:
+        return packed(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        model, letters, space = self.tok.model.tokenize, self.letters, chr(self.letters[32])
+        out = []
+        for w in words:
+            if not w.isalpha():
+                out.append(self._text(" " + w))
+            else:
+                out.append(packed([t.id for t in model(space + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)))]))
+        return out
+
+    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        whole = {i: np.frombuffer(self._text(t), "<u4") for i, t in enumerate(texts) if t and self.added(t)}
+        ids = self.encoder.batch([None if i in whole else t for i, t in enumerate(texts)])
+        return [whole.get(i, x) for i, x in enumerate(ids)]
+
+
+def library_encoder(path: str) -> LibraryEncoder:
+    """The encoder of this worker process, made once."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = LibraryEncoder(path)
     return _ENCODERS[path]
 
 
-def write_token_file(docs: DataFrame, out: str, tokenizer: str, pattern: str, vocabulary: int, end_id: int = 0) -> None:
+def write_token_file(docs: DataFrame, out: str, tokenizer: str, vocabulary: int, end_id: int = 0) -> None:
     """Encodes the texts of docs (doc_id, text) and writes them to the folder ``out`` in ascending doc_id order."""
     spark, width = docs.sparkSession, bits_for(vocabulary)
     n = shuffle_partitions(spark)
@@ -82,13 +119,16 @@ def write_token_file(docs: DataFrame, out: str, tokenizer: str, pattern: str, vo
     end = np.array([end_id], "<u4")
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = library_encoder(tokenizer, pattern)
-        for whole in parts:
-            for at in range(0, whole.num_rows, 256):  # small batches bound the memory
-                batch = whole.slice(at, 256)
-                ids = [np.concatenate([one(t.as_py()), end]) for t in batch.column("text")]
-                packed = pa.array([pack(i, width) for i in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), packed], ["part", "doc_id", "n", "ids"])
+        library = library_encoder(tokenizer)
+        try:
+            for whole in parts:
+                for at in range(0, whole.num_rows, 256):  # small batches bound the memory
+                    batch = whole.slice(at, 256)
+                    ids = [np.concatenate([i, end]) for i in library.batch(batch.column("text").to_pylist())]
+                    bits = pa.array([pack(i, width) for i in ids], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), bits], ["part", "doc_id", "n", "ids"])
+        finally:
+            library.encoder.forget()
 
     coded = docs.select(part.cast("int").alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "part int, doc_id long, n long, ids binary")
     ordered = coded.repartition(n, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "ids")
