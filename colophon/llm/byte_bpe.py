@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 #: Words whose ids a worker keeps, twice (a generation and the one before it): about 30 MB. They go when its task ends.
 CACHE = 100_000
 #: Pairs of neighbours whose compatibility a worker keeps, about 25 MB. They go too.
@@ -243,13 +245,13 @@ class ByteBPE:
         import regex
 
         cut = regex.compile(self.pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
-        piece = self.encode_piece
+        piece, four = self.encode_piece, [packed([i]) for i in range(max(self.bytes_of) + 1)]
 
         def text(t: str) -> bytes:
-            return packed([i for p in cut(t) for i in piece(p.encode())])
+            return b"".join([four[i] for p in cut(t) for i in piece(p.encode())])
 
         def words(new: list[str]) -> list[bytes]:
-            return [packed(piece((" " + w).encode())) if w.isalpha() else text(" " + w) for w in new]
+            return [b"".join([four[i] for i in piece((" " + w).encode())]) if w.isalpha() else text(" " + w) for w in new]
 
         return Encoder(words, text)
 
@@ -285,9 +287,9 @@ def _udf(make, schema: str, path: str, pattern: str):
     return F.pandas_udf(run, schema)
 
 
-def _pieces(x: pd.Series, rows: int = 256):
-    """Small batches bound what a worker holds."""
-    return (x.iloc[i : i + rows].tolist() for i in range(0, len(x), rows))
+def _pieces(x: pd.Series):
+    texts = x.tolist()
+    return (texts[a:b] for a, b in pieces(texts))
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,18 +23,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in tests, a local master gets
+    a temporary one; a cluster has no folder of ours to share, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            return str(set_dir.get())
-        import tempfile
+    if found:
+        return found
+    context = spark.sparkContext
+    set_dir = context._jsc.sc().getCheckpointDir()
+    if set_dir.isDefined():
+        return str(set_dir.get())
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    import tempfile
 
-        found = f"file://{tempfile.mkdtemp(prefix='colophon-')}"
-        spark.sparkContext.setCheckpointDir(found)
-        return str(spark.sparkContext._jsc.sc().getCheckpointDir().get())
-    return found
+    context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='colophon-')}")
+    return str(context._jsc.sc().getCheckpointDir().get())
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -74,6 +78,19 @@ def utf8(texts: list) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
 
 
+def pieces(texts: list, rows: int = 1024, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of small pieces of a batch: so many rows and (but for one text that is longer) characters at most."""
+    a, size = 0, 0
+    for b, t in enumerate(texts):
+        n = len(t) if t else 0
+        if b - a >= rows or size and size + n > most:
+            yield a, b
+            a, size = b, 0
+        size += n
+    if texts:
+        yield a, len(texts)
+
+
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true values."""
     edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))

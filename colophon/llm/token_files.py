@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import Encoder, packed
-from .common import shared_dir, shuffle_partitions, small_batches
+from .common import pieces, shared_dir, shuffle_partitions, small_batches
 
 BLOCK_IDS = 1 << 19
 
@@ -60,8 +60,8 @@ class LibraryEncoder:
     """Texts to ids by the tokenizers library, as it is set up by its file.
 
     The library cuts a text by its pattern, writes each piece in its byte-level alphabet and gives it to its model. A word of
-    letters is one piece, so the words that the worker doesn't know yet go to the model as they are; anything else goes to
-    the library whole, and so do texts that hold the string of an added token, at which the library cuts first.
+    letters is one piece, so the words that the worker doesn't know yet go to the model as they are; other words go to
+    the library together, texts that hold the string of an added token, at which the library cuts first, as they are.
     """
 
     def __init__(self, path: str):
@@ -80,19 +80,36 @@ class LibraryEncoder:
         self.letters = {b: b if b in plain else next(rest) for b in range(256)}
         if set(map(chr, self.letters.values())) != set(pre_tokenizers.ByteLevel.alphabet()):
             raise ValueError("another byte-level alphabet")
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.four = [packed([i]) for i in range(max(vocabulary.values()) + 1)]
+        self.begins = np.zeros(len(self.four), bool)
+        self.begins[[i for t, i in vocabulary.items() if t[:1] == chr(self.letters[32])]] = True
         self.encoder = Encoder(self._words, self._text)
 
     def _text(self, text: str) -> bytes:
         return packed(self.tok.encode(text, add_special_tokens=False).ids)
 
     def _words(self, words: list[str]) -> list[bytes]:
-        model, letters, space = self.tok.model.tokenize, self.letters, chr(self.letters[32])
-        out = []
+        model, letters, four, space = self.tok.model.tokenize, self.letters, self.four, chr(self.letters[32])
+        out, others = [], []
         for w in words:
-            if not w.isalpha():
-                out.append(self._text(" " + w))
+            if w.isalpha():
+                out.append(b"".join([four[t.id] for t in model(space + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)))]))
             else:
-                out.append(packed([t.id for t in model(space + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)))]))
+                others.append((len(out), w))
+                out.append(b"")
+        for at in range(0, len(others), 256):
+            part = others[at : at + 256]
+            # all in one text: tokens that begin with a space begin a word
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join([w for _, w in part])], add_special_tokens=False)[0].ids, "<u4")
+            starts = (4 * np.flatnonzero(self.begins[ids])).tolist()
+            if len(starts) == len(part):
+                data = ids.tobytes()
+                for (i, _), a, b in zip(part, starts, [*starts[1:], len(data)]):
+                    out[i] = data[a:b]
+            else:
+                for i, w in part:
+                    out[i] = self._text(" " + w)
         return out
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -122,16 +139,17 @@ def write_token_file(docs: DataFrame, out: str, tokenizer: str, vocabulary: int,
         library = library_encoder(tokenizer)
         try:
             for whole in parts:
-                for at in range(0, whole.num_rows, 256):  # small batches bound the memory
-                    batch = whole.slice(at, 256)
-                    ids = [np.concatenate([i, end]) for i in library.batch(batch.column("text").to_pylist())]
+                texts = whole.column("text").to_pylist()
+                for a, b in pieces(texts):  # small batches bound the memory
+                    batch = whole.slice(a, b - a)
+                    ids = [np.concatenate([i, end]) for i in library.batch(texts[a:b])]
                     bits = pa.array([pack(i, width) for i in ids], pa.binary())
                     yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), bits], ["part", "doc_id", "n", "ids"])
         finally:
             library.encoder.forget()
 
     coded = docs.select(part.cast("int").alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "part int, doc_id long, n long, ids binary")
-    ordered = coded.repartition(n, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "ids")
+    ordered = coded.repartitionById(len(cuts) + 2, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "ids")
 
     def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []

@@ -148,11 +148,38 @@ def test_bpe_rows(docs, bpe):
         ids = bpe[1].encode_ordinary(r.text or "")
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    assert byte_bpe.round_trip(docs.limit(0), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
     coded = byte_bpe.encode_texts(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     for r in byte_bpe.decode_ids(coded, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).select("text", "decoded").collect():
         assert bytes(r.decoded) == (r.text or "").encode()
 
 
+def test_library_rows_are_the_library():
+    """Against a tokenizer as its file sets it up: special tokens in a text, and random strings, alone and joined."""
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    mine = token_files.library_encoder(P.path("byte_bpe_50k.json"))
+    random_ones = strings(3000, 2)
+    texts = [None, "", " ", "a  b ", " a", "a line <|endoftext|> next", "x<|endoftext|>", *random_ones, *[" ".join(random_ones[i : i + 9]) for i in range(0, 900, 9)], "naïve " * 300]
+    assert sum("<|endoftext|>" in (t or "") for t in texts) > 100
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        for t, ids in zip(part, mine.batch(part)):
+            assert ids.tolist() == tok.encode(t or "", add_special_tokens=False).ids, t
+    mine.encoder.forget()
+
+
+def test_encoder_keeps_few_words(bpe):
+    """What a worker keeps is bounded, and goes with the task."""
+    encode = bpe[0].encoder()
+    encode.most = 50
+    for i in range(40):
+        texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + i % 26)}, x" for k in range(j, j + 30)) for j in range(20)]
+        assert [x.tolist() for x in encode.batch(texts)] == [bpe[1].encode_ordinary(t) for t in texts]
+        assert len(encode.young) <= 150 and len(encode.old) <= 150
+    encode.forget()
+    assert not encode.young and not encode.old
+
+
 @pytest.mark.parametrize("width", [1, 5, 8, 16, 17, 31])
 def test_packing(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 777).astype(np.uint32)
@@ -164,9 +191,8 @@ def test_packing(width):
 @pytest.mark.parametrize("vocabulary", [50_257, 70_000])
 def test_token_files(spark, docs, vocabulary):
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     folder = token_files.new_token_folder(spark)
-    token_files.write_token_file(docs, folder, P.path("byte_bpe_50k.json"), P.PATTERN, vocabulary)
+    token_files.write_token_file(docs, folder, P.path("byte_bpe_50k.json"), vocabulary)
     got = sorted(token_files.read_token_file(spark, folder).collect(), key=lambda r: r.start)
     want = {i: sorted(tuple([*tok.encode(t or "", add_special_tokens=False).ids, 0]) for j, t, *_ in ROWS if j == i) for i in {r[0] for r in ROWS}}
     assert [r.doc_id for r in got] == sorted((r[0] for r in ROWS), key=lambda i: (i is None, i))
@@ -177,7 +203,7 @@ def test_token_files(spark, docs, vocabulary):
         assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
         at += r.n_tokens
     empty = token_files.new_token_folder(spark)
-    token_files.write_token_file(docs.limit(0), empty, P.path("byte_bpe_50k.json"), P.PATTERN, vocabulary)
+    token_files.write_token_file(docs.limit(0), empty, P.path("byte_bpe_50k.json"), vocabulary)
     assert token_files.read_token_file(spark, empty).count() == 0
 
 
