@@ -40,6 +40,8 @@ LAST_ID = (1 << 63) - 1
 #: Occurrences of an anchor that go to one salt, on average.
 SALT_ROWS = 512
 CHUNK = 1 << 18
+#: Words of more bytes are told apart by a cryptographic hash.
+LONG_WORD = 64
 #: Blocks for each partition: a block is in a worker's memory as a whole.
 BLOCKS = 3
 
@@ -127,6 +129,9 @@ def word_tokens(texts: list[bytes]) -> Tokens:
     edge = np.flatnonzero(space[1:] != space[:-1])
     start, end = edge[::2], edge[1::2]
     hashes = mix(Rolling(BYTES[raw], BASES[0]).of(start, end - start) + (end - start).astype(np.uint64))
+    # such polynomials are the same for certain pairs of long strings over two letters
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
     bounds = np.cumsum([len(t) + 1 for t in texts])
     upto = np.searchsorted(start, bounds)
     return Tokens(hashes, np.diff(upto, prepend=0), start, end, data)
@@ -145,6 +150,8 @@ def anchored(kind: Kind, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """(lo, n, off, h): runs of n windows from token lo on that select the same anchor, which stands off tokens after lo."""
     total, width = len(t.values), kind.window - kind.gram + 1
     none = np.zeros(0, np.int64)
+    if total >= 1 << PLACE_BITS:
+        raise ValueError(f"a text of {total} tokens: {1 << PLACE_BITS} are too many")
     if total < kind.window:
         return none, none, none, none.astype(np.uint64)
     grams = mix(Rolling(t.values, BASES[1]).of(np.arange(total - kind.gram + 1), kind.gram))
@@ -206,6 +213,25 @@ def order_id(doc_id: int | None) -> int:
     return LAST_ID if doc_id is None else doc_id
 
 
+def later_ones(sigs: list[bytes], ids: list[int], seen: dict[bytes, int]) -> list[bool]:
+    """Whether a row is certainly not the first with its digest: another row of the batch, or one that the task has seen,
+    comes before it. Of rows with the same id the first met counts."""
+    first: dict[bytes, int] = {}
+    for i, s in enumerate(sigs):
+        j = first.setdefault(s, i)
+        if ids[i] < ids[j]:
+            first[s] = i
+    later = [first[s] != i or ids[i] >= seen.get(s, LAST_ID + 1) for i, s in enumerate(sigs)]
+    for s, i in first.items():
+        seen[s] = min(seen.get(s, LAST_ID), ids[i])
+    return later
+
+
+def spread(i: int) -> int:
+    """A number for the block of a row that may go to any."""
+    return (i * 0x9E3779B97F4A7C15 & LAST_ID) >> 20
+
+
 def tag_of(sig: bytes) -> int:
     return int.from_bytes(sig[:8], "little")
 
