@@ -232,7 +232,10 @@ def _still_open(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     of = cut(of)
     often = of.groupBy("hub", "kind", "d").agg(F.count(F.lit(1)).alias("often"), F.min("__root").alias("r0"), F.max("__root").alias("r1")).filter("r0 <> r1").drop("r0", "r1")
     order = Window.partitionBy("hub", "kind", "x").orderBy(F.desc("often"), "d")
-    of = of.join(often, ["hub", "kind", "d"]).withColumn("__left", F.row_number().over(order)).filter("__left >= least").drop("often", "least")
+    every = Window.partitionBy("hub", "kind", "x")
+    of = of.join(often, ["hub", "kind", "d"]).withColumn("__left", F.row_number().over(order))
+    of = of.withColumns({"__size": F.count(F.lit(1)).over(every), "__bits": F.bit_or(F.expr("shiftleft(1L, pmod(hash(d), 64))")).over(every)})
+    of = of.filter("__left >= least").drop("often", "least")
     of = cut(of.withColumn("group", F.xxhash64(*facts, "__left")))
     groups = of.groupBy("group", *facts, "__left").agg(F.min("__root").alias("__r0"), F.max("__root").alias("__r1"))
     left, right = groups.select(*[F.col(c).alias(f"a{c}") for c in groups.columns]), groups.select(*[F.col(c).alias(f"b{c}") for c in groups.columns])
@@ -243,12 +246,16 @@ def _still_open(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
         f"{need} <= {total} * (least(a__c, b__c) + least(a__r - a__c, b__r - b__c))",
         f"CASE WHEN akind = 0 THEN {need} <= {total} * (a__c + b__c - a__h + least(a__left, b__left)) ELSE NOT (a__near AND b__near) AND {need} <= {total} * (least(a__c, b__c) + least(a__left, b__left)) END",
     ]
-    met = left.join(right, F.expr(" AND ".join(f"({b})" for b in bounds))).select("ahub", "akind", "ad", "agroup", "bgroup")
-    members = of.select("hub", "kind", "d", "group", "x", "__root")
-    for s in "ab":
-        one = members.select(*[F.col(c).alias(f"m{c}") for c in ("hub", "kind", "d", "group")], F.col("x").alias(s), F.col("__root").alias(f"{s}_root"))
-        met = met.join(one, (F.col("ahub") == F.col("mhub")) & (F.col("akind") == F.col("mkind")) & (F.col("ad") == F.col("md")) & (F.col(f"{s}group") == F.col("mgroup"))).drop("mhub", "mkind", "md", "mgroup")
-    pairs = met.filter("a_root <> b_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = left.join(right, F.expr(" AND ".join(f"({b})" for b in bounds))).select("ahub", "akind", "ad", "agroup", "bgroup", F.col("a__h").alias("ah"), *[F.col(f"{s}__{c}").alias(f"{s}{c}") for s in "ab" for c in "nc"])
+    members = of.select("hub", "kind", "d", "group", "x", "__root", "__size", "__bits")
+    # bits of the differences: those that only one of two sets has set are at least as many n-grams that the other hasn't
+    both = "least(a_size - bit_count(a_bits & ~b_bits), b_size - bit_count(b_bits & ~a_bits))"
+    further = f"a_root <> b_root AND {p} * (an + bn) <= {total} * ({both} + CASE WHEN akind = 0 THEN ac + bc - ah ELSE least(ac, bc) END)"
+    for s, more in (("a", "true"), ("b", further)):
+        one = members.select(*[F.col(c).alias(f"m{c}") for c in ("hub", "kind", "d", "group")], F.col("x").alias(s), *[F.col(f"__{c}").alias(f"{s}_{c}") for c in ("root", "size", "bits")])
+        on = f"ahub = mhub AND akind = mkind AND ad = md AND {s}group = mgroup AND ({more})"
+        met = met.join(one, F.expr(on)).drop("mhub", "mkind", "md", "mgroup")
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return certain, pairs
 
 

@@ -4,13 +4,13 @@ A window is a run of ``window`` tokens of one document; it is a repeat if its to
 comes before or earlier in the same one. Documents come in the order of doc_id (null last), then of the digest of the text.
 A token is repeated if a repeated window covers it. The corpus is worked on in blocks of documents:
 
-1. *Blocks.* Documents go to blocks by the digest of their text, so all copies of a text meet. Within an Arrow batch only
-   the first of equal texts keeps its text: a text that a third of all rows share reaches its block once per batch.
+1. *Blocks.* Documents go to blocks by the digest of their text, so all that may be the first with a text meet. Rows that
+   come after another of their task are copies: their result is known at once, and they go to any block, without a text.
 2. *Anchors.* Each window selects the gram of least hash in it (the last such one): windows with equal tokens select the
    same gram at the same place. Each block sends the hashes of its anchors, packed, to buckets; a bucket counts them and
    answers each block with those found twice or more in the corpus.
 3. *Spans.* Around each repeated anchor, a block sends out the stretch of text that the windows of that anchor cover. An
-   anchor found often is split over salts by document.
+   anchor found often is split over salts by document and place.
 4. *Resolution.* Spans with the same anchor (and salt) meet; ``Kind.classes`` groups their windows by content, and all but
    the first of a group are repeats. Where an anchor has several salts, the first of each salt go on, by a digest of their
    content, to be compared once more.
@@ -183,28 +183,35 @@ def digest(text: bytes) -> bytes:
     return hashlib.blake2b(text, digest_size=16).digest()
 
 
-def to_blocks(docs: DataFrame, n_parts: int, least: int) -> DataFrame:
-    """docs dealt to blocks, with __sig, __block and __copy; a copy within its batch loses its text if that has ``least`` bytes."""
+def to_blocks(docs: DataFrame, n_parts: int, kind: Kind, finish, out: StructType) -> DataFrame:
+    """docs dealt to blocks, with __sig, __block, __copy and __done.
+
+    A row that is certainly not the first with its text is a copy: its result (``out``, in __done) is known here, it loses
+    its text and may go to any block. So a text reaches its block only from rows that may be the first.
+    """
     names, n_blocks = docs.columns, BLOCKS * n_parts
-    schema = StructType([*docs.schema.fields, StructField("__sig", BinaryType()), StructField("__block", IntegerType()), StructField("__copy", BooleanType())])
+    schema = StructType([*docs.schema.fields, StructField("__sig", BinaryType()), StructField("__block", IntegerType()), StructField("__copy", BooleanType()), StructField("__done", out)])
+    done_type = pa.struct([(f.name, _arrow(f.dataType)) for f in out.fields])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
+        at, fields = names.index("text"), [f.name for f in out.fields]
+        seen: dict[bytes, int] = {}  # by digest, the least id so far in this task
         for batch in parts:
             texts = batch.column(at).to_pylist()
-            ids = batch.column(names.index("doc_id")).to_pylist()
-            sigs = [digest(t) for t in utf8(texts)]
-            first: dict[bytes, int] = {}
-            for i, s in enumerate(sigs):
-                j = first.setdefault(s, i)
-                if order_id(ids[i]) < order_id(ids[j]):
-                    first[s] = i
-            copy = [first[s] != i for i, s in enumerate(sigs)]
-            kept = [None if c and t is not None and len(t) >= least else t for t, c in zip(texts, copy)]
-            blocks = [int.from_bytes(s[8:12], "little") % n_blocks for s in sigs]
+            ids = [order_id(i) for i in batch.column(names.index("doc_id")).to_pylist()]
+            raw = utf8(texts)
+            sigs = [digest(t) for t in raw]
+            copy = later_ones(sigs, ids, seen)
+            results: dict[bytes, dict] = {}
+            for t, s, c in zip(raw, sigs, copy):
+                if c and s not in results:
+                    tokens = kind.tokens([t])
+                    results[s] = dict(zip(fields, finish(tokens, np.full(len(tokens.values), len(tokens.values) >= kind.window))))
+            blocks = [(spread(i) if c else int.from_bytes(s[8:12], "little")) % n_blocks for s, i, c in zip(sigs, ids, copy)]
             cols = list(batch.columns)
-            cols[at] = pa.array(kept, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sigs, pa.binary()), pa.array(blocks, pa.int32()), pa.array(copy)], [*names, "__sig", "__block", "__copy"])
+            cols[at] = pa.array([None if c else t for t, c in zip(texts, copy)], pa.string())
+            done = pa.array([results[s] if c else None for s, c in zip(sigs, copy)], done_type)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sigs, pa.binary()), pa.array(blocks, pa.int32()), pa.array(copy, pa.bool_()), done], [*names, "__sig", "__block", "__copy", "__done"])
 
     return docs.mapInArrow(run, schema).repartition(n_parts, "__block")
 
@@ -319,6 +326,11 @@ def look_up(known: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(known[at] == x, at, -1)
 
 
+def salt_of(spans: np.ndarray) -> np.ndarray:
+    """The salt of each span, by its document and place: one document may hold an anchor very often, too."""
+    return mix(spans["tag"] + spans["lo"] * np.uint64(0x9E3779B97F4A7C15)) % spans["salts"]
+
+
 def window_hashes(kind: Kind, spans: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each window of each span."""
     t = kind.tokens(texts)
@@ -369,10 +381,10 @@ def _resolver(kind: Kind, n_parts: int):
             return
         spans = np.concatenate(metas)
         # by anchor, in pieces of bounded size; an anchor's spans (of a salt) stay together
-        order = np.lexsort((spans["tag"] % spans["salts"], spans["h"]))
+        order = np.lexsort((salt_of(spans), spans["h"]))
         spans = spans[order]
         texts = [texts[i] for i in order]
-        salt = spans["tag"] % spans["salts"]
+        salt = salt_of(spans)
         new = np.concatenate(([True], (spans["h"][1:] != spans["h"][:-1]) | (salt[1:] != salt[:-1])))
         bounds = np.append(np.flatnonzero(new), len(spans))
         size = np.cumsum(spans["size"].astype(np.int64))
@@ -395,8 +407,9 @@ def _resolver(kind: Kind, n_parts: int):
         when = (rank[of] << 32) + spans["lo"][of] + place
         group = kind.classes(spans, texts, kind)
         # salts are different groups: their firsts are compared later
-        order = np.lexsort((when, spans["tag"][of] % spans["salts"][of], group))
-        g, s = group[order], (spans["tag"][of] % spans["salts"][of])[order]
+        salt = salt_of(spans)[of]
+        order = np.lexsort((when, salt, group))
+        g, s = group[order], salt[order]
         first = np.empty(len(of), bool)
         first[order] = np.concatenate(([True], (g[1:] != g[:-1]) | (s[1:] != s[:-1])))
         rows = [(b, b, r, None) for b, r in _repeats(of[~first], place[~first], spans)]
@@ -440,7 +453,7 @@ def repeated_tokens(docs: DataFrame, kind: Kind, finish, out: StructType) -> Dat
     """
     n = shuffle_partitions(docs.sparkSession)
     small_batches(docs.sparkSession)
-    blocks = to_blocks(docs, n, 16 * kind.window)
+    blocks = to_blocks(docs, n, kind, finish, out)
     names = docs.columns
 
     def hashes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -493,7 +506,7 @@ def repeated_tokens(docs: DataFrame, kind: Kind, finish, out: StructType) -> Dat
                 m["salts"] = -(-counts[at[hit]].astype(np.int64) // SALT_ROWS)
                 parts = [t.slice(x, x + y - 1 + kind.window) for x, y in zip(lo[hit].tolist(), count[hit].tolist())]
                 m["size"] = [len(p) for p in parts]
-                to = bucket_of(mix(m["h"] + m["tag"] % m["salts"]), n)
+                to = bucket_of(mix(m["h"] + salt_of(m)), n)
                 for target, i in _split(to):
                     metas.setdefault(target, []).append((m[i].tobytes(), b"".join([parts[k] for k in i])))
         rows_out = [(t, b"".join(x for x, _ in v), b"".join(y for _, y in v)) for t, v in metas.items()]
@@ -510,10 +523,10 @@ def repeated_tokens(docs: DataFrame, kind: Kind, finish, out: StructType) -> Dat
         found = dict(_split_tags(found))
         first = firsts(left)
         texts = left.column("text")
-        results: list = [None] * left.num_rows
+        results: list = [d and tuple(d.values()) for d in left.column("__done").to_pylist()]
         later: dict[bytes, tuple] = {}
         sigs = left.column("__sig").to_pylist()
-        many = {s for s, c in Counter(sigs).items() if c > 1}
+        many = {s for s, c in Counter(s for s, r in zip(sigs, results) if r is None).items() if c > 1}
         for sig, i in first.items():
             t = kind.tokens(utf8([texts[i].as_py()]))
             total = len(t.values)

@@ -90,6 +90,105 @@ def test_salted_anchors(spark, monkeypatch):
     assert got == {i: sum(m) for i, _, m in brute(rows, str.encode, 100)}
 
 
+def test_one_document_with_one_line(spark, monkeypatch):
+    """An anchor that a single document holds very often is split too."""
+    from colophon.llm import repeats
+
+    monkeypatch.setattr(repeats, "SALT_ROWS", 4)
+    rows = [(1, "the same line again and again, of some words\n" * 200, "b", 1, "r"), (2, "x " * 300 + "- " * 300, "b", 1, "r"), (3, "before " + "the same line again and again, of some words\n" * 9, "b", 1, "r")]
+    docs = spark.createDataFrame(rows, KIND)
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(docs).collect()}
+    assert got == {i: sum(m) for i, _, m in brute(rows, WORD.findall, 20)}
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup_suffixes(docs).collect()}
+    assert got == {i: sum(m) for i, _, m in brute(rows, str.encode, 100)}
+
+
+def test_later_ones():
+    from colophon.llm.repeats import LAST_ID, later_ones
+
+    seen = {}
+    assert later_ones([b"a", b"b", b"a", b"a"], [5, 7, 3, 9], seen) == [True, False, False, True]
+    assert later_ones([b"a", b"b", b"c"], [1, 7, LAST_ID], seen) == [False, True, False]
+    assert later_ones([b"a", b"c"], [2, LAST_ID], seen) == [True, True]
+
+
+def thue_morse(letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(1024))
+
+
+def test_long_words(spark):
+    """Two words that a polynomial modulo 2**64 can't tell apart."""
+    one, other = thue_morse("ab"), thue_morse("ba")
+    rows = [(1, " ".join([one] * 10 + [f"w{k}" for k in range(10)]), "b", 1, "r"), (2, " ".join([other] * 10 + [f"w{k}" for k in range(10)]), "b", 1, "r"), (3, " ".join([one] * 10 + [f"w{k}" for k in range(10)]) + " x", "b", 1, "r")]
+    docs = spark.createDataFrame(rows, KIND)
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(docs).collect()} == {1: 0, 2: 0, 3: 20}
+    assert {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_too_many_tokens():
+    from colophon.llm import repeats
+
+    with pytest.raises(ValueError, match="too many"):
+        repeats.anchored(substring_dedup_kind(), repeats.Tokens(np.lib.stride_tricks.as_strided(np.zeros(1, np.uint64), (1 << 28,), (0,)), np.array([1 << 28])))
+
+
+def substring_dedup_kind():
+    from colophon.llm import repeats
+
+    return repeats.Kind(20, 8, repeats.word_tokens, substring_dedup.extended)
+
+
+def star(n, rng):
+    """A text and near copies of it, of which those with three edits link with nothing but by chance."""
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 3, 3, 3, 4])):
+            w[at] = f"e{i}x{at}" if rng.random() < 0.8 else f"e{at}"
+        rows.append((i, " ".join(w), "b", 1, "r"))
+    return rows
+
+
+def components_of(rows, percent=80):
+    s = [shingles(r[1]) for r in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(s[i] & s[j]) >= percent * len(s[i] | s[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {r[0]: find(i) for i, r in enumerate(rows)}
+
+
+def test_near_copies_of_a_text_that_is_not_there(spark):
+    rows = star(300, random.Random(12))
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, KIND)).collect()}
+    assert got == components_of(rows)
+
+
+def test_near_copies_make_no_square(spark, monkeypatch):
+    """2,000 near copies: the pairs that are verified stay few beside the square."""
+    rows, made = star(2000, random.Random(13)), []
+    verified = near_duplicates._verified
+
+    def counted(pairs, sets, percent):
+        made.append(pairs.count())
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(near_duplicates, "_verified", counted)
+    assert near_duplicates.near_duplicates(spark.createDataFrame(rows, KIND)).count() == 2000
+    print(made)
+    assert sum(made) < 2000 * 2000 / 40
+
+
 def test_dedup_of_nothing(spark):
     docs = spark.createDataFrame(corpus(1), KIND).limit(0)
     assert substring_dedup.dedup_substrings(docs).count() == suffix_dedup.dedup_suffixes(docs).count() == near_duplicates.near_duplicates(docs).count() == 0
