@@ -1,25 +1,29 @@
 """Main text of web pages by minimum-cut labelling of text blocks.
 
-A page is cut into blocks of text at block-level tags. A linear classifier gives each block a log-odds of being content;
-its size is the capacity from the source (content) or to the sink (boilerplate). Neighbouring blocks, and blocks of the
-same parent element, are joined by smoothness edges, so a short or odd block follows its surroundings. The minimum cut of
-that graph labels the blocks. Structure that says what it is (scripts, forms, navigation, comments and the like) adds to
-the log-odds a weight that no smoothness can overcome.
+A page is cut into blocks of text at block-level tags. A linear classifier gives each block a log-odds of being content:
+from its text, and from the tags and the words in class, id and role of the elements around it. That is the capacity from
+the source (content) or to the sink (boilerplate); all are finite. Smoothness edges join neighbouring blocks, the weaker the
+farther apart they are in the tree, and blocks of the same parent element, so an odd block follows its surroundings. The
+minimum cut of that graph labels the blocks. Only scripts, styles, fallback content and what is hidden is left out before.
 
-The classifier's weights start from ``PRIOR`` and are fitted by penalised logistic regression, centred on the prior, to the
-blocks of a bounded sample of pages (``max_pages``, in hash order) whose structure says what they are; that structure is
-not among the features. With no such blocks, the prior stands.
+What elements are called is evidence, not a verdict: where a page has no article outside of elements that are called
+boilerplate, the share of its prose that such an element holds speaks against the name (``alone``).
+
+The classifier's weights start from ``PRIOR``. They are fitted by self-training on a bounded sample of pages (``max_pages``
+pages and ``max_bytes`` bytes, in hash order): the minimum cut labels the sample's blocks, a logistic regression with a
+penalty centred on the prior learns from those labels, and so on for some rounds. Without pages the prior stands.
 
 Defined cases: null html is empty and has an empty text; broken markup never fails (unclosed tags end with the page, a tag
-cut off by its end is dropped); white space is what str.split() takes for it; repeated rows give repeated results; other
-columns pass through.
+cut off by its end is dropped), and takes time in proportion to the page; white space is what str.split() takes for it;
+repeated rows give repeated results; an empty table gives an empty result; other columns pass through, one named ``text``
+is replaced.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 # --- Fixed values: HTML element names -------------------------------------------------------------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg math select datalist audio video canvas object".split())
+RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg annotation annotation-xml select datalist audio video canvas object".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -38,13 +42,18 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 #: Elements that hold no article text, and those that hold the article.
 NOT_TEXT = frozenset("nav footer aside form button menu dialog search fieldset head".split())
 ARTICLE = frozenset("article main".split())
+#: Elements that never stand around an article.
+NEVER = frozenset("nav footer menu button search head".split())
 # --- Words in class, id and role that name a part of a page ----------------------------------------------------------
 NAMES = {
     "off": "nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar sidenav topbar toolbar masthead banner contentinfo complementary search pagination pager cookie cookies consent gdpr notice notices alert popup modal overlay dialog newsletter subscribe signup login ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted comment comments commentlist reply replies respond disqus discussion related recommended share sharing social widget widgets skip tagcloud copyright disclaimer paywall".split(),
     "on": "article content main body post entry story text maincontent articlebody postcontent entrycontent".split(),
 }
 OFF, ON = frozenset(NAMES["off"]), frozenset(NAMES["on"])
-HARD = 60.0
+#: Of those, the words that are believed of an article or main element itself.
+NO_ARTICLE = frozenset("ad ads comment comments related replies reply promo promoted sponsored".split())
+#: Before a word they say that a page has, or hasn't, such a part elsewhere.
+MODIFIERS = frozenset("has have no not with without hide hidden".split())
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z|[^<]+|<""",
@@ -53,67 +62,94 @@ TOKEN = re.compile(
 ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))|(\bhidden\b)""")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-FEATURES = ("bias", "length", "links", "sentence", "paragraph", "heading", "item", "cell", "short", "upper")
+FEATURES = ("bias", "length", "links", "sentence", "paragraph", "heading", "item", "cell", "short", "upper", "off_tag", "off_name", "on_tag", "on_name", "outer_off", "alone")
 #: Log-odds of content where nothing has been fitted.
-PRIOR = np.array([0.5, 0.45, -5.0, 0.8, 0.8, 0.8, -0.3, -0.2, -0.3, -0.3])
-ADJACENT, SIBLING = 0.7, 0.5
+PRIOR = np.array([-0.5, 0.45, -5.0, 0.8, 0.8, 0.8, -0.1, -0.2, -0.3, -0.3, -6.0, -6.0, 1.2, 0.8, -6.0, 7.0])
+#: Smoothness: of blocks of one element that follow each other (divided by one more than the steps between their elements
+#: in the tree, where they are others), and of blocks of one parent. Only a part of it where an element begins or ends that
+#: is called boilerplate.
+ADJACENT, SIBLING, BORDER = 1.6, 0.5, 0.25
+#: The nearest element around a block that says what it is.
+OFF_TAG, OFF_NAME, NOTHING, ON_NAME, ON_TAG = -2, -1, 0, 1, 2
 
 
 class Block:
-    __slots__ = ("hard", "link", "parent", "tag", "text")
+    __slots__ = ("element", "kind", "link", "outer", "parent", "region", "tag", "text")
+
+    def __init__(self, text: str, link: int, tag: str = "", element: int = 0, parent: int = 0, kind: int = NOTHING, outer: bool = False, region: int = -1):
+        self.text, self.link, self.tag, self.element, self.parent, self.kind, self.outer, self.region = text, link, tag, element, parent, kind, outer, region
+
+
+class Open:
+    """An open element: its name, what is known of the text in it, and its nearest block-level element (number, tag, the number of that one's parent)."""
+
+    __slots__ = ("element", "hidden", "kind", "name", "outer", "parent", "region", "tag")
 
-    def __init__(self, text: str, link: int, tag: str, hard: float, parent: int):
-        self.text, self.link, self.tag, self.hard, self.parent = text, link, tag, hard, parent
+    def __init__(self, name: str, above: Open | None):
+        self.name = name
+        self.element, self.tag, self.parent = (above.element, above.tag, above.parent) if above else (0, "", 0)
+        self.kind, self.outer, self.region, self.hidden = (above.kind, above.outer, above.region, above.hidden) if above else (NOTHING, False, -1, False)
 
 
-def _named(attrs: str) -> float:
-    """The evidence in an element's attributes: below 0 against content."""
-    found = 0.0
+def _names(attrs: str) -> tuple[set[str], bool]:
+    """The words in class, id and role, but for those behind a modifier; whether the element is hidden."""
+    words: set[str] = set()
     for m in ATTR.finditer(attrs):
         if m[5]:
-            return -HARD
+            return words, True
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
-            parts = {p.lower() for p in PART.findall(value)}
-            if parts & OFF:
-                return -HARD
-            if parts & ON:
-                found = 1.5
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or name == "aria-hidden" and value.lower() == "true":
-            return -HARD
-        elif name == "hidden":
-            return -HARD
-    return found
-
-
-def blocks_of(page: str) -> list[Block]:
+            for token in value.split():
+                before = ""
+                for w in map(str.lower, PART.findall(token)):
+                    if before not in MODIFIERS:
+                        words.add(w)
+                    before = w
+        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or name == "aria-hidden" and value.lower() == "true" or name == "hidden":
+            return words, True
+    return words, False
+
+
+def _judge(at: Open, attrs: str, in_article: bool, number: int) -> None:
+    """What an element's tag and attributes say of the text in it."""
+    name = at.name
+    words, hidden = _names(attrs) if attrs and name not in ("a", "html", "body") else (set(), False)
+    at.hidden |= hidden
+    if words & (NO_ARTICLE if name in ARTICLE else OFF) and name not in NEVER:
+        at.kind, at.region = OFF_NAME, number
+    elif name in NOT_TEXT or name == "header" and not in_article:
+        at.kind, at.region = OFF_TAG, -1 if name in NEVER else number
+    elif name in ARTICLE:
+        at.outer |= at.kind < 0
+        at.kind = ON_TAG
+    elif words & ON and at.kind == NOTHING:
+        at.kind = ON_NAME
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[int]]:
+    """The page's blocks, and the parent of each block-level element by number (of a lower number)."""
     out: list[Block] = []
-    # an open element: (name, its evidence with that of those above, the number of the nearest block-level element)
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]
+    stack = [Open("", None)]
+    open_names: Counter[str] = Counter()
+    parents = [0]
     buffer: list[str] = []
-    links, in_link, count = 0, 0, 0
-    at, end = 0, len(page)
+    links, at, end = 0, 0, len(page)
 
     def flush():
         nonlocal links
         if buffer:
-            text = " ".join(html_lib.unescape("".join(buffer)).split())
+            e = stack[-1]
+            text = "" if e.hidden else " ".join(html_lib.unescape("".join(buffer)).split())
             if text:
-                tag = next((n for n, *_ in reversed(stack) if n in BLOCK), "")
-                parent = stack[-1][2]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in BLOCK:
-                        parent = stack[i - 1][2]
-                        break
-                out.append(Block(text, links, tag, stack[-1][1], parent))
+                out.append(Block(text, links, e.tag, e.element, e.parent, e.kind, e.outer, e.region))
             buffer.clear()
         links = 0
 
     def close(depth: int):
-        nonlocal in_link
-        if any(n in BLOCK for n, *_ in stack[depth:]):
+        if any(e.name in BLOCK for e in stack[depth:]):
             flush()
-        in_link -= sum(n == "a" for n, *_ in stack[depth:])
+        for e in stack[depth:]:
+            open_names[e.name] -= 1
         del stack[depth:]
 
     while at < end:
@@ -124,72 +160,96 @@ def blocks_of(page: str) -> list[Block]:
             t = m[0]
             if t[0] != "<" or t == "<":
                 buffer.append(t)
-                if in_link:
+                if open_names["a"] > 0:
                     links += len(t.strip())
             continue
         name = name.lower()
         if m["end"] or m["end2"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-            else:
-                if name in BLOCK:
-                    flush()
+            if open_names[name] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
+            elif name in BLOCK:
+                flush()
             continue
         if name == "br":
             buffer.append(" ")
             continue
         if name in VOID:
-            if name in BLOCK:
-                flush()
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
         if name in RAW:
-            if attrs.endswith("/") and name in ("svg", "math"):
+            if attrs.endswith("/") and name == "svg":
                 continue
             found = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = found.end() if found else end
-            if name not in ("svg", "math", "select"):
+            if name not in ("svg", "select", "annotation", "annotation-xml"):
                 buffer.append(" ") if name in ("iframe", "video", "object", "textarea", "canvas", "audio") else None
             continue
         if name in BLOCK:
             # what a new block ends by itself: an open paragraph, and open siblings of its kind
-            inside = SCOPE.get(name, ())
-            for i in range(len(stack) - 1, 0, -1):
-                n = stack[i][0]
-                if n in CLOSES.get(name, ()) or n == "p":
-                    close(i)
-                    break
-                if n in inside or n in BLOCK and name not in CLOSES or n in ("table", "article", "body"):
-                    break
+            ends = CLOSES.get(name, frozenset()) | {"p"}
+            if any(open_names[n] > 0 for n in ends):
+                inside = SCOPE.get(name, ())
+                for i in range(len(stack) - 1, 0, -1):
+                    n = stack[i].name
+                    if n in ends:
+                        close(i)
+                        break
+                    if n in inside or n in BLOCK and name not in CLOSES or n in ("table", "article", "body"):
+                        break
             flush()
-            count += 1
-        above = stack[-1]
-        hard = above[1]
-        if name in NOT_TEXT:
-            hard -= HARD
-        elif name == "header" and not any(n in ARTICLE for n, *_ in stack):
-            hard -= HARD
-        elif name in ARTICLE and hard > -HARD:
-            hard += 3.0
-        if attrs and name not in ("a", "html", "body"):
-            hard += _named(attrs) if name not in ARTICLE else max(0.0, _named(attrs)) if hard > -HARD / 2 and not re.search(r"comment|repl|teaser|promo|related", attrs, re.I) else -HARD
-        stack.append((name, hard, count if name in BLOCK else above[2]))
-        in_link += name == "a"
+        new = Open(name, stack[-1])
+        if name in BLOCK:
+            new.element, new.tag, new.parent = len(parents), name, new.element
+            parents.append(new.parent)
+        _judge(new, attrs, open_names["article"] > 0 or open_names["main"] > 0, new.element)
+        stack.append(new)
+        open_names[name] += 1
     flush()
-    return out
+    return out, parents
 
 
-def features(block: Block) -> list[float]:
+def features(block: Block, alone: float = 0.0) -> list[float]:
     n = len(block.text)
     letters = sum(map(str.isupper, block.text))
     return [
         1.0, min(np.log1p(n), 7.0) - 3.0, min(1.0, block.link / n), float(block.text[-1] in ".!?…。\"'”»:"), float(block.tag in ("p", "blockquote", "pre")),
         float(block.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(block.tag in ("li", "dt", "dd")), float(block.tag in ("td", "th", "caption")), float(n < 20), float(letters > 0.6 * n),
+        float(block.kind == OFF_TAG), float(block.kind == OFF_NAME), float(block.kind == ON_TAG), float(block.kind == ON_NAME), float(block.outer), alone,
     ]
 
 
+def page_features(blocks: list[Block]) -> np.ndarray:
+    """The features of a page's blocks. ``alone``: where nothing outside of elements called boilerplate is in an article (or
+    the like), the share of the page's text without links that the element around the block holds, from 0.8 on."""
+    size = [max(0, len(b.text) - b.link) for b in blocks]
+    total, held = sum(size), Counter()
+    for b, n in zip(blocks, size):
+        held[b.region] += n
+    free = any(n and b.kind > 0 and b.region < 0 for b, n in zip(blocks, size))
+    share = {r: n / total for r, n in held.items() if r >= 0 and not free and 10 * n >= 8 * total > 0}
+    return np.array([features(b, share.get(b.region, 0.0)) for b in blocks])
+
+
+def _across(a: Block, b: Block) -> float:
+    return BORDER if a.region != b.region or (a.kind < 0) != (b.kind < 0) else 1.0
+
+
+def edges_of(blocks: list[Block], parents: list[int]) -> list[tuple[int, int, float]]:
+    """Smoothness edges: of each block to the next, by their distance in the tree, and to the next of the same parent."""
+    edges = []
+    last: dict[int, int] = {}
+    for i, b in enumerate(blocks):
+        if i:
+            x, y, steps = blocks[i - 1].element, b.element, 0
+            while x != y:  # a parent has a lower number; all walks together pass each element twice
+                x, y, steps = (parents[x], y, steps + 1) if x > y else (x, parents[y], steps + 1)
+            edges.append((i - 1, i, ADJACENT / (1 + steps) * _across(blocks[i - 1], b)))
+        if b.parent in last:
+            edges.append((last[b.parent], i, SIBLING * _across(blocks[last[b.parent]], b)))
+        last[b.parent] = i
+    return edges
+
+
 def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels (true: content) of least cost: -gain where a node with gain > 0 is off or one below 0 is on, plus cut edges.
 
@@ -270,41 +330,24 @@ def _flow(gain: list[float], near: list[dict[int, float]]) -> list[bool]:
                 path.pop()
 
 
-def extract(page: str | None, weights: np.ndarray) -> str:
-    blocks = blocks_of(page or "")
+def label(page: str | None, weights: np.ndarray) -> tuple[list[Block], np.ndarray, list[bool]]:
+    """A page's blocks, their features, and which of them the minimum cut leaves with the content."""
+    blocks, parents = blocks_of(page or "")
     if not blocks:
-        return ""
-    score = np.array([features(b) for b in blocks]) @ weights
-    gain = [float(s) + b.hard for s, b in zip(score, blocks)]
-    # Blocks that their structure decides say nothing about those beside them.
-    open_ = [i for i, b in enumerate(blocks) if abs(b.hard) < HARD / 2]
-    edges = [(i, j, ADJACENT) for i, j in zip(open_, open_[1:])]
-    last: dict[int, int] = {}
-    for i in open_:
-        parent = blocks[i].parent
-        if parent in last:
-            edges.append((last[parent], i, SIBLING))
-        last[parent] = i
-    return " ".join(b.text for b, on in zip(blocks, minimum_cut(gain, edges)) if on)
-
-
-def fit_weights(pages: DataFrame, max_pages: int = 400, penalty: float = 200.0) -> np.ndarray:
-    """PRIOR, fitted to blocks whose structure says what they are, in a sample of at most ``max_pages`` pages."""
-    hashed = pages.select("html", F.xxhash64("html").alias("h")).filter(F.length("html") > 0)
-    # the least hashes first, then their pages: what tasks send does not grow with their number
-    last = hashed.select("h").distinct().orderBy("h").limit(max_pages).agg(F.max("h")).first()[0]
-    some = hashed.filter(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()
-    x, y = [], []
-    for r in some:
-        for b in blocks_of(r.html):
-            if b.hard <= -HARD / 2 or b.hard >= 3:
-                x.append(features(b))
-                y.append(b.hard > 0)
+        return [], np.zeros((0, len(FEATURES))), []
+    x = page_features(blocks)
+    return blocks, x, minimum_cut((x @ weights).tolist(), edges_of(blocks, parents))
+
+
+def extract(page: str | None, weights: np.ndarray) -> str:
+    blocks, _, on = label(page, weights)
+    return " ".join(b.text for b, keep in zip(blocks, on) if keep)
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
+    """Logistic regression with a penalty on what differs from PRIOR, by Newton steps."""
     w = PRIOR.copy()
-    if len(set(y)) < 2:
-        return w
-    x, y = np.array(x), np.array(y, float)
-    for _ in range(20):  # Newton steps
+    for _ in range(20):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) * (1000 / len(y)) + penalty * (w - PRIOR)
         hess = (x * (p * (1 - p))[:, None]).T @ x * (1000 / len(y)) + penalty * np.eye(len(w))
@@ -315,6 +358,29 @@ def fit_weights(pages: DataFrame, max_pages: int = 400, penalty: float = 200.0)
     return w
 
 
+def fit_weights(pages: DataFrame, max_pages: int = 400, max_bytes: int = 1 << 23, penalty: float = 200.0, rounds: int = 3) -> np.ndarray:
+    """PRIOR, fitted by self-training on a sample of at most ``max_pages`` pages and ``max_bytes`` bytes."""
+    hashed = pages.select("html", F.xxhash64("html").alias("h"), F.octet_length("html").alias("n")).filter("n > 0")
+    # the least hashes first, as many as fit; then their pages: what tasks send does not grow with their number
+    least = hashed.select("h", "n").groupBy("h").agg(F.max("n").alias("n")).orderBy("h").limit(max_pages)
+    upto, last = 0, None
+    for r in least.collect():  # two numbers for each of max_pages pages
+        upto += r.n
+        if upto > max_bytes:
+            break
+        last = r.h
+    w = PRIOR.copy()
+    if last is None:
+        return w
+    some = [r.html for r in hashed.filter(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()]
+    for _ in range(rounds):
+        found = [label(h, w) for h in some]
+        x, y = np.concatenate([x for _, x, _ in found]), np.concatenate([np.array(on, float) for *_, on in found])
+        if 0 < y.sum() < len(y):
+            w = _fitted(x, y, penalty)
+    return w
+
+
 def extract_text(pages: DataFrame, weights: np.ndarray = PRIOR) -> DataFrame:
     """pages with a column ``text``: the main text of the column html."""
     weights = np.asarray(weights)

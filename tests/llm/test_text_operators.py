@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -245,9 +246,54 @@ def test_html(spark):
     assert html_extraction.fit_weights(pages.limit(0)).tolist() == html_extraction.PRIOR.tolist()
 
 
+ONE = "The river rose in the night and took the lower bridge with it, as the old people of the town had always said it would."
+TWO = "By morning the water stood in the market place, and nobody could say how the bread was to come over to the other bank."
+THREE = "It fell again within the week, leaving sand in the cellars and a boat on the steps of the church."
+MENU = "<ul><li><a href=/a>Home</a></li><li><a href=/b>World</a></li><li><a href=/c>Sport</a></li></ul>"
+PROSE = f"<p>{ONE}</p><p>{TWO}</p><p>{THREE}</p>"
+SHORT = f"<p>{ONE}</p><p>So it went</p><p>{TWO}</p><p>Day 3</p><p>{THREE}</p>"
+NOTE = "This site stores small files on your machine. By reading on you agree to that."
+#: Pages whose names are missing or misleading, and their text.
+HARD_PAGES = [
+    (f"<div>{MENU}</div><div>{PROSE}</div><div><a href=/x>Imprint</a> <a href=/y>Terms</a></div>", f"{ONE} {TWO} {THREE}"),
+    (f"<div>{MENU}</div><div>{SHORT}</div>", f"{ONE} So it went {TWO} Day 3 {THREE}"),
+    (f"<nav>{MENU}</nav><div class=widget>{PROSE}</div><footer><p>All rights with the town.</p></footer>", f"{ONE} {TWO} {THREE}"),
+    (f"<form id=page><nav>{MENU}</nav><div><h1>High water</h1>{PROSE}</div></form>", f"High water {ONE} {TWO} {THREE}"),
+    (f"<div class='layout has-sidebar'><nav>{MENU}</nav><div>{PROSE}</div></div>", f"{ONE} {TWO} {THREE}"),
+    (f"<div class='post no-comments'>{SHORT}</div><aside><p>More about rivers, and about what they do.</p></aside>", f"{ONE} So it went {TWO} Day 3 {THREE}"),
+    (f"<div class=sidebar-page><article><h1>High water</h1>{PROSE}</article></div><footer>The town</footer>", f"High water {ONE} {TWO} {THREE}"),
+    (f"<article>{PROSE}<section id=comments><p>I was there, and it was just so.</p><p>Well told!</p></section></article>", f"{ONE} {TWO} {THREE}"),
+    (f"<div class=story>{PROSE}<p>The height was <math><mi>h</mi><mo>=</mo><mn>4</mn></math> metres.</p></div><div class=cookie-notice><p>{NOTE}</p></div>", f"{ONE} {TWO} {THREE} The height was h=4 metres."),
+    (f"<table><tr><td>{MENU}</td><td><p>{ONE}<p>{TWO}<blockquote>{THREE}</blockquote></td></tr></table><div hidden><p>{ONE}</p></div>", f"{ONE} {TWO} {THREE}"),
+]
+
+
+def test_hard_pages(spark):
+    pages = spark.createDataFrame([(h,) for h, _ in HARD_PAGES], "html string")
+    flipped = 0
+    for w in (html_extraction.PRIOR, html_extraction.fit_weights(pages)):
+        for html, want in HARD_PAGES:
+            assert html_extraction.extract(html, w) == want
+            _, x, on = html_extraction.label(html, w)
+            flipped += sum((g > 0) != o for g, o in zip(x @ w, on))
+    assert flipped > 0  # the cut labels blocks otherwise than the classifier
+
+
+def test_html_takes_linear_time():
+    for odd in ("<div>" * 20000 + "</b>" * 20000, "<b>" * 20000 + "a</div>" * 20000, "<div>" * 20000 + "<td>x</td>" * 20000, "<b>" * 20000 + "<div>x</div>" * 20000):
+        start = time.process_time()
+        html_extraction.extract(odd, html_extraction.PRIOR)
+        assert time.process_time() - start < 8
+
+
+def test_html_of_nothing(spark):
+    pages = spark.createDataFrame([], "page_id long, html string, text string")
+    assert html_extraction.extract_text(pages, html_extraction.fit_weights(pages)).count() == 0
+
+
 def test_upper_of_whole_block():
     upper = html_extraction.FEATURES.index("upper")
-    of = lambda text: html_extraction.features(html_extraction.Block(text, 0, "p", 0.0, 0))[upper]
+    of = lambda text: html_extraction.features(html_extraction.Block(text, 0, "p"))[upper]
     assert (of("A" * 400 + "b" * 2000), of("b" * 400 + "A" * 2000), of("A" * 50), of("b" * 50)) == (0.0, 1.0, 1.0, 0.0)
 
 
