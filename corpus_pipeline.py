@@ -1,7 +1,14 @@
-"""The corpus pipeline: five stages, each applying one operator of ``colophon.llm`` to what the stage before it kept."""
+"""The corpus pipeline: five stages, each applying one operator of ``colophon.llm`` to what the stage before it kept.
+
+Defined cases: a null text has no words, so the quality rules reject its document; a null source is a source, a null doc_id
+comes after all others; of documents that link, and of equal ones, the first in the order of doc_id stays; an empty table
+gives an empty result; texts of any length are handled whole. Columns besides doc_id, text and source go through all stages
+but the last unchanged, whatever they are called (n_chars alone follows the text).
+"""
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import public_tokenizers
@@ -12,29 +19,41 @@ from colophon.llm import byte_bpe, mixing, near_duplicates, quality_rules, subst
 from colophon.llm.common import shared_dir, table
 
 
-def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows with the columns of docs; n_chars follows the text where docs has it."""
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+def _on_documents(stage):
+    """A stage whose operator sees the other columns of docs under names that no operator uses; it returns those of docs."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        other = {c: f"other{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "source")}
+        rows = stage(spark, docs.withColumnsRenamed(other), sf_dir)
+        rows = rows.withColumnsRenamed({v: k for k, v in other.items()}).select(*docs.columns)
+        if "n_chars" in docs.columns:
+            rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        return rows
+
+    return run
 
 
+@_on_documents
 def rule_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines that are too frequent in their source."""
-    ruled = quality_rules.quality_rules(docs).filter("kept")
-    return _as_documents(ruled.withColumn("text", F.col("clean_text")), docs)
+    ruled = quality_rules.quality_rules(docs).filter("kept").withColumn("text", F.col("clean_text"))
+    return ruled.select(*docs.columns)
 
 
+@_on_documents
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group that links connect."""
     return near_duplicates.keep_one(docs)
 
 
+@_on_documents
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages that occur earlier."""
-    return _as_documents(substring_dedup.dedup_substrings(docs), docs)
+    return substring_dedup.dedup_substrings(docs).select(*docs.columns)
 
 
+@_on_documents
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     mixed = mixing.mix_sources(docs)
@@ -45,7 +64,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document of the mix: doc_id, source, and the length and digests of its token ids and of what they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN).select("doc_id", "source", "__bpe.*")
+    coded = byte_bpe.round_trip(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN)
+    return coded.select("doc_id", "source", "__bpe.*")
 
 
 STAGES = [
