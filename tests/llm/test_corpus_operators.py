@@ -315,3 +315,26 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() > 0 and {r.doc_id for r in out.collect()} == kept[3]
     assert out.filter(F.col("n_tokens") == 0).count() == 0
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """An empty table, columns named like results, a long text, nulls."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words int, clean_text string, ids string, other0 int"
+    spark.createDataFrame([], kind).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(i, long if i == 1 else " ".join(f"v{i}x{k}" for k in range(90)), "en", "s", 1, "mine", i or 0, "own", "own", 5) for i in [*range(6), None]] + [(7, None, None, None, None, None, None, None, None, None)]
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in kind.split(", ")]
+        got = docs.collect()
+        assert {(r.kept, r.clean_text, r.ids, r.other0) for r in got} == {("mine", "own", "own", 5)}
+        assert all(r.n_words == (r.doc_id or 0) and r.n_chars == len(r.text) for r in got)
+        if k < 3:
+            assert {r.doc_id for r in got} == {*range(6), None}
+        docs.write.parquet(str(tmp_path / f"odd{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"odd{k}"))
