@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import give_back, pieces
 
 #: Words whose ids a worker keeps, twice (a generation and the one before it): about 30 MB. They go when its task ends.
 CACHE = 100_000
@@ -64,6 +64,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.young, self.old = {}, {}
+        give_back()
 
     def _learn(self, words: list[str]) -> None:
         """Sees to it that ``young`` knows the words, of which it knows none."""
@@ -279,8 +280,8 @@ def _udf(make, schema: str, path: str, pattern: str):
             for x in parts:
                 yield make(x)
         finally:
-            encode.forget()
             loaded(path, pattern)[0].fits.clear()
+            encode.forget()
 
     out = pd.DataFrame if " " in schema else pd.Series
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[out]}

@@ -63,6 +63,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Lets a Python worker that stays return to the system what its task has freed."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, natively: runs of other characters than SPACES; null has none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import cut, release, shuffle_partitions, small_batches, utf8
+from .common import cut, give_back, release, shuffle_partitions, small_batches, utf8
 from .components import components
 from .repeats import ANSWERS, BASES, BLOCKS, HASHES, Rolling, _chunks, answers, block_hashes, bucket_of, count_narrow_hashes, digest, later_ones, look_up, mix, order_id, spread, word_tokens
 
@@ -120,10 +120,11 @@ def _sets_in_blocks(docs: DataFrame, size: int, percent: int, keep_text: bool) -
                     use.append(i)
             for i, s in zip(use, shingle_sets(utf8([column[i].as_py() for i in use]), size)):
                 found.setdefault(where[i], []).append(s)
-        for block, hs in found.items():
-            yield block_hashes(np.concatenate(hs), block, n_parts, "<u4")
+        for block in list(found):
+            yield block_hashes(np.concatenate(found.pop(block)), block, n_parts, "<u4")
+        give_back()
 
-    known = blocks.mapInArrow(hashes, HASHES).repartition(n_parts, "bucket").mapInArrow(count_narrow_hashes, ANSWERS)
+    known = blocks.mapInArrow(hashes, HASHES).repartitionById(n_parts, F.col("bucket")).mapInArrow(count_narrow_hashes, ANSWERS)
     extra = [StructField("__sig", StringType()), StructField("__n", LongType()), StructField("__first", BooleanType()), StructField("__r", LongType()), StructField("__prefix", ArrayType(LongType())), StructField("__set", BinaryType())]
     schema = StructType([*[f for f in docs.schema.fields if f.name in names], *extra])
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from .common import shuffle_partitions, small_batches, utf8
+from .common import give_back, shuffle_partitions, small_batches, utf8
 
 PLACE_BITS = 28
 LAST_ID = (1 << 63) - 1
@@ -286,26 +286,33 @@ def count_narrow_hashes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _count(parts: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
-    rows = [r for batch in parts for r in batch.to_pylist()]
-    if not rows:
-        return
-    own, counts = [], []
-    for r in rows:
-        x = np.concatenate([np.frombuffer(r["once"], kind), np.frombuffer(r["many"], kind)]).astype(np.uint64)
-        own.append(x if kind == "<u8" else x | np.uint64(r["bucket"] << 32))
-        counts.append(np.concatenate([np.ones(len(x) - len(r["counts"]) // 4, np.uint32), np.frombuffer(r["counts"], "<u4")]))
-        r.update(once=None, many=None, counts=None)
-    every, counts = np.concatenate(own), np.concatenate(counts)
+    buckets: dict[int, list[dict]] = {}
+    for batch in parts:
+        for r in batch.to_pylist():
+            buckets.setdefault(r.pop("bucket"), []).append(r)
+    for bucket in list(buckets):  # one, as buckets are dealt
+        yield from _count_bucket(bucket, buckets.pop(bucket), kind)
+    give_back()
+
+
+def _count_bucket(bucket: int, rows: list[dict], kind: str) -> Iterator[pa.RecordBatch]:
+    own = [np.concatenate([np.frombuffer(r["once"], kind), np.frombuffer(r["many"], kind)]) for r in rows]
+    counts = np.concatenate([np.concatenate([np.ones(len(r["once"]) // np.dtype(kind).itemsize, np.uint32), np.frombuffer(r["counts"], "<u4")]) for r in rows])
+    every = np.concatenate(own)
+    blocks = [r["block"] for r in rows]
+    rows.clear()
     order = np.argsort(every)
-    s = every[order]
-    new = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    total = np.add.reduceat(counts[order].astype(np.int64), new)
-    known, total = s[new][total > 1], np.minimum(total[total > 1], (1 << 32) - 1).astype("<u4")
-    for r, x in zip(rows, own):
+    every, counts = every[order], counts[order]
+    del order
+    new = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    total = np.add.reduceat(counts, new, dtype=np.int64)
+    known, total = every[new][total > 1], np.minimum(total[total > 1], (1 << 32) - 1).astype("<u4")
+    del every, counts, new
+    for block, x in zip(blocks, own):
         at = look_up(known, x)
         hit = at >= 0
         if hit.any():
-            cols = [pa.array([r["block"]], pa.int32()), pa.array([r["bucket"]], pa.int32()), pa.array([x[hit].astype(kind).tobytes()], pa.binary()), pa.array([total[at[hit]].tobytes()], pa.binary())]
+            cols = [pa.array([block], pa.int32()), pa.array([bucket], pa.int32()), pa.array([x[hit].tobytes()], pa.binary()), pa.array([total[at[hit]].tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["block", "bucket", "hashes", "counts"])
 
 
@@ -394,6 +401,7 @@ def _resolver(kind: Kind, n_parts: int):
             b = int(max(bounds[np.searchsorted(bounds, upto, "right") - 1], bounds[np.searchsorted(bounds, a, "right")]))
             yield from piece(spans[a:b], texts[a:b])
             a = b
+        give_back()
 
     def piece(spans: np.ndarray, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         n = spans["n"].astype(np.int64)
@@ -476,10 +484,11 @@ def repeated_tokens(docs: DataFrame, kind: Kind, finish, out: StructType) -> Dat
                     doc = np.searchsorted(np.cumsum(t.counts), lo, "right")
                     for block, i in _split(np.array([where[use[a + d]] for d in range(b - a)])[doc]):
                         found.setdefault(block, []).append(h[i])
-        for block, hs in found.items():
-            yield block_hashes(np.concatenate(hs), block, n)
+        for block in list(found):
+            yield block_hashes(np.concatenate(found.pop(block)), block, n)
+        give_back()
 
-    known = blocks.mapInArrow(hashes, HASHES).repartition(n, "bucket").mapInArrow(count_hashes, ANSWERS)
+    known = blocks.mapInArrow(hashes, HASHES).repartitionById(n, F.col("bucket")).mapInArrow(count_hashes, ANSWERS)
 
     def spans(left: pa.Table, right: pa.Table) -> pa.Table:
         h_known, counts = answers(right)
@@ -514,7 +523,7 @@ def repeated_tokens(docs: DataFrame, kind: Kind, finish, out: StructType) -> Dat
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary()))], ["target", "meta", "text"])
 
     sent = blocks.groupBy("__block").cogroup(known.repartition(n, "block").groupBy("block")).applyInArrow(spans, "target int, meta binary, text binary")
-    routed = sent.repartition(n, "target").mapInArrow(_resolver(kind, n), "route int, block int, repeats binary, open binary")
+    routed = sent.repartitionById(n, F.col("target")).mapInArrow(_resolver(kind, n), "route int, block int, repeats binary, open binary")
     settled = routed.repartition(n, "route").mapInArrow(_settle, "block int, repeats binary").repartition(n, "block")
     fields = [f.name for f in out.fields]
 
