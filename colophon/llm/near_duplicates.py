@@ -262,7 +262,8 @@ def _still_open(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
 
 def _linked(docs: DataFrame, size: int, percent: int, keep_text: bool) -> DataFrame:
     """All rows of docs with __sig, __n, __first and __component."""
-    rows = cut(_sets_in_blocks(docs, size, percent, keep_text))
+    rows = _sets_in_blocks(docs, size, percent, keep_text)
+    rows = cut(rows.filter("__first") if keep_text else rows)  # with texts, only first rows are asked for
     release(docs.sparkSession)
     sets = rows.filter("__set IS NOT NULL").select("__sig", "__n", "__r", "__set", "__prefix")
     grouped = sets.select("__sig", "__n", "__r", "__prefix", F.sha2(F.concat_ws(",", F.col("__n").cast("string"), F.col("__r").cast("string"), F.array_join("__prefix", ",")), 256).alias("__group"))
@@ -294,12 +295,13 @@ def _linked(docs: DataFrame, size: int, percent: int, keep_text: bool) -> DataFr
     least = roots.join(firsts.withColumnRenamed("__sig", "node"), "node")
     top = least.groupBy("root").agg(F.min("__min").alias("__component"))
     top = least.select("node", "root").join(top, "root").select(F.col("node").alias("__of"), "__component")
-    found = firsts.join(top, F.col("__sig") == F.col("__of"), "left").select(F.col("__sig").alias("__of"), F.coalesce("__component", "__min").alias("__component"))
     out = rows.drop("__r", "__prefix", "__set")
-    if keep_text:  # only first rows are asked for
-        out = out.filter("__first")
+    if keep_text:  # a first row's set has its own id: only sets with links are looked up, and texts needn't be shuffled for few
+        found = cut(top)  # its size is known then, before anything is shuffled for it
+    else:
+        found = firsts.join(top, F.col("__sig") == F.col("__of"), "left").select(F.col("__sig").alias("__of"), F.coalesce("__component", "__min").alias("__component"))
     out = out.join(found, F.col("__sig") == F.col("__of"), "left").drop("__of")
-    return out.withColumn("__component", F.when(F.col("__n") > 0, F.col("__component")).otherwise(F.col("doc_id")))
+    return out.withColumn("__component", F.coalesce("__component", F.when(F.col("__first") | (F.col("__n") == 0), F.col("doc_id"))))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
