@@ -41,8 +41,10 @@ def key_tsand(title: Column, strip_prefix: bool = False) -> Column:
     A title that starts with one of PREFIXES gives that prefix as its key; ``strip_prefix`` drops the prefix instead.
     """
     slug = text.lower(text.trim(key_title(title)))
-    for p in PREFIXES:
-        slug = F.when(slug.startswith(p), F.substr(slug, F.lit(len(p) + 1)) if strip_prefix else F.lit(p)).otherwise(slug)
+    if strip_prefix:
+        slug = F.regexp_replace(slug, "^" + "".join(f"(?:{p})?" for p in PREFIXES), "")
+    else:
+        slug = F.regexp_replace(slug, f"(?s)^({'|'.join(PREFIXES)}).*", "$1")
     slug = F.replace(slug, F.lit("&apos;"), F.lit("'"))
     one = {k: v for k, v in LETTERS.items() if len(v) <= 1}
     both = sorted(one, key=lambda k: not one[k])  # those that vanish come last
@@ -58,7 +60,8 @@ VOWELS = frozenset("AEIOU")
 
 def nysiis_code(name: str) -> str:
     """New York State phonetic code of the letters A to Z in a name, six letters at most."""
-    s = [c for c in name.strip().upper() if "A" <= c <= "Z"]
+    # letter by letter: a letter whose upper case is several letters stays as it is, and so isn't one of A to Z
+    s = [u for u in map(str.upper, name) if len(u) == 1 and "A" <= u <= "Z"]
     if not s:
         return ""
     word = "".join(s)

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import fields
 from ..sources.schemas import BIBLIOREF, struct_type
 
-RELEASE_URL = "https://fatcat.wiki/release/"
+#: What stands before an ident in a verifier's lines, and what its edges are said to come from.
+RELEASE_URL = "https://example.org/release/"
+VERIFIER = "verifier"
 SITEMAP_SKIP = 41
 
 
 def ref_to_release(refs: DataFrame) -> DataFrame:
-    """References as releases: a year counts from 1001 on; stage, type, locator and the bibliographic year aren't taken over. Marked as references in extra.skate."""
+    """References as releases: a year counts from 1001 on; stage, type, locator and the bibliographic year aren't taken over. Marked as references in extra.mark."""
     b = lambda name: F.col(f"biblio.{name}")
     names = F.transform(b("contrib_raw_names"), lambda x, i: F.struct(i.alias("index"), x.alias("raw_name"), F.lit("").alias("role")))
     blank = F.lit("")
@@ -21,7 +23,7 @@ def ref_to_release(refs: DataFrame) -> DataFrame:
     mark = F.struct(F.lit("ref").alias("status"), F.struct(F.col("index").alias("index"), F.col("key").alias("key"), blank.alias("locator")).alias("ref"), F.struct(blank.alias("url")).alias("rg"))
     return refs.select(
         F.col("release_ident").alias("ident"), F.col("work_ident").alias("work_id"), b("title").alias("title"), b("publisher").alias("publisher"), b("container_name").alias("container_name"), b("volume").alias("volume"), b("issue").alias("issue"), b("pages").alias("pages"),
-        F.when(F.col("release_year") > 1000, F.col("release_year").cast("string")).otherwise("").alias("release_year"), ids.alias("ext_ids"), names.alias("contribs"), F.struct(mark.alias("skate")).alias("extra"),
+        F.when(F.col("release_year") > 1000, F.col("release_year").cast("string")).otherwise("").alias("release_year"), ids.alias("ext_ids"), names.alias("contribs"), F.struct(mark.alias("mark")).alias("extra"),
     )
 
 
@@ -29,7 +31,7 @@ def sitemap_to_release(entries: DataFrame) -> DataFrame:
     """(title, url) as releases; the ident is what follows the fixed start of the url, up to an underscore."""
     url = F.col("url")
     ident = F.when(F.octet_length(url) > SITEMAP_SKIP, F.substring_index(F.substr(url, F.lit(SITEMAP_SKIP + 1)), "_", 1)).otherwise("")
-    return entries.select(ident.alias("ident"), "title", F.struct(F.struct(F.lit("rg").alias("status"), F.struct(url.alias("url")).alias("rg")).alias("skate")).alias("extra"))
+    return entries.select(ident.alias("ident"), "title", F.struct(F.struct(F.lit("rg").alias("status"), F.struct(url.alias("url")).alias("rg")).alias("mark")).alias("extra"))
 
 
 def biblioref(**values: Column) -> list[Column]:
@@ -37,14 +39,14 @@ def biblioref(**values: Column) -> list[Column]:
     return [values.get(f.name, F.lit("" if f.dataType.typeName() == "string" else 0)).cast(f.dataType).alias(f.name) for f in struct_type(BIBLIOREF).fields]
 
 
-def biblioref_from_pairs(lines: DataFrame) -> DataFrame:
+def biblioref_from_pairs(lines: DataFrame, url: str = RELEASE_URL, verifier: str = VERIFIER) -> DataFrame:
     """Edges from lines "key target source" (a join's output) or "target source Status.X Reason.Y" (a verifier's); others, and edges of a record with itself, go."""
     f = fields(F.col("value"))
     n, at = F.size(f), lambda i: F.coalesce(F.get(f, F.lit(i)), F.lit(""))
-    ident = lambda i: F.replace(at(i), F.lit(RELEASE_URL), F.lit(""))
+    ident = lambda i: F.replace(at(i), F.lit(url), F.lit(""))
     of = lambda three, four: F.when(n == 3, three).when(n == 4, four).otherwise("")
     rows = lines.select(
-        of(at(2), ident(1)).alias("source"), of(at(1), ident(0)).alias("target"), of(F.lit("join"), F.lit("fuzzycat/ebee2de")).alias("provenance"),
+        of(at(2), ident(1)).alias("source"), of(at(1), ident(0)).alias("target"), of(F.lit("join"), F.lit(verifier)).alias("provenance"),
         of(F.lit(""), F.replace(at(2), F.lit("Status."), F.lit(""))).alias("status"), of(F.lit(""), F.replace(at(3), F.lit("Reason."), F.lit(""))).alias("reason"),
     ).filter("source <> target")
     c = F.col

@@ -23,7 +23,7 @@ def flatten(releases: DataFrame) -> DataFrame:
     return releases.select(
         "ident", "work_id", "title", "container_id", c("extra.container_name").alias("extra_container_name"), c("ext_ids.doi").alias("doi"), c("ext_ids.pmid").alias("pmid"), c("ext_ids.arxiv").alias("arxiv"), c("ext_ids.jstor").alias("jstor"), "release_type",
         text.year_of(c("release_year")).alias("year"), "pages", text.subtitles_of(c("extra.subtitle")).alias("subtitles"), c("extra.crossref.type").alias("crossref_type"), c("extra.datacite.metadataVersion").alias("metadata_version"),
-        F.size("extra.datacite.relations").alias("relations"), doi_links.alias("related"), c("contribs.raw_name").alias("authors"), "release_stage", c("extra.skate.status").alias("skate_status"), c("extra.skate.ref.index").alias("ref_index"), c("extra.skate.ref.key").alias("ref_key"),
+        F.size("extra.datacite.relations").alias("relations"), doi_links.alias("related"), c("contribs.raw_name").alias("authors"), "release_stage", c("extra.mark.status").alias("mark_status"), c("extra.mark.ref.index").alias("ref_index"), c("extra.mark.ref.key").alias("ref_key"),
     )
 
 

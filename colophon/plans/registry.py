@@ -154,7 +154,7 @@ def count_unique_lines(spark, sf_dir):
 def sitemap_to_release(spark, sf_dir):
     pages = t(spark, sf_dir, "pages").select(F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), "url", "page_id")
     out = convert.sitemap_to_release(pages.withColumn("title", F.struct("title", "page_id")))
-    return out.select("title.page_id", "ident", "title.title", F.col("extra.skate.status").alias("status"), F.col("extra.skate.rg.url").alias("url"))
+    return out.select("title.page_id", "ident", "title.title", F.col("extra.mark.status").alias("status"), F.col("extra.mark.rg.url").alias("url"))
 
 
 def _refs(spark, sf_dir) -> DataFrame:
@@ -172,7 +172,7 @@ def _refs(spark, sf_dir) -> DataFrame:
 def ref_to_release(spark, sf_dir):
     out = convert.ref_to_release(_refs(spark, sf_dir))
     names = F.array_join(F.transform("contribs", lambda x: F.concat(x["index"].cast("string"), F.lit(":"), x.raw_name)), ";")
-    return out.select("ident", "title", "ext_ids.doi", "ext_ids.pmid", "release_year", names.alias("contribs"), "extra.skate.status", F.col("extra.skate.ref.index").alias("ref_index"), F.col("extra.skate.ref.key").alias("ref_key"))
+    return out.select("ident", "title", "ext_ids.doi", "ext_ids.pmid", "release_year", names.alias("contribs"), "extra.mark.status", F.col("extra.mark.ref.index").alias("ref_index"), F.col("extra.mark.ref.key").alias("ref_key"))
 
 
 @query("""SELECT CAST(l_orderkey AS VARCHAR) AS ident, p_name AS title, 900 + l_partkey % 1200 AS year FROM lineitem JOIN part ON l_partkey = p_partkey""")
@@ -242,7 +242,7 @@ def biblioref_join(spark, sf_dir):
     return convert.biblioref_from_pairs(lines).select("source_release_ident", "target_release_ident", "match_provenance")
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS source_release_ident, CAST(o_custkey AS VARCHAR) AS target_release_ident, 'fuzzycat/ebee2de' AS match_provenance, 'EXACT' AS match_status, 'DOI' AS match_reason FROM orders WHERE o_orderkey <> o_custkey")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS source_release_ident, CAST(o_custkey AS VARCHAR) AS target_release_ident, 'verifier' AS match_provenance, 'EXACT' AS match_status, 'DOI' AS match_reason FROM orders WHERE o_orderkey <> o_custkey")
 def biblioref_verify(spark, sf_dir):
     o, c, u = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.lit(convert.RELEASE_URL)
     lines = t(spark, sf_dir, "orders").select(F.concat(u, c, F.lit(" "), u, o, F.lit(" Status.EXACT Reason.DOI")).alias("value"))

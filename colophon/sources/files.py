@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from .schemas import decode, encode
 
 
+# --- Fixed values: the names of reasons in text output -----------------------------------------------------------------
+REASONS = """
+Unknown Appendix Arxiv ArxivVersion Blacklisted BlacklistedFragment BookChapter ChemFormula Component Container
+ContainerNameBlacklist ContribIntersectionEmpty CustomBSISubdoc CustomBSIUndated CustomIEEEArxiv CustomIOPMAPattern CustomVHS
+DOI DataciteRelatedID DataciteVersion DatasetDOI FigshareVersion JaccardAuthors JstorID MaxClusterSizeExceeded NumDiff PMCID
+PMID PMIDDOIPair PageCount PreprintPublished PublisherBlacklist ReleaseType SharedDOIPrefix ShortTitle SingularCluster
+SlugTitleAuthorMatch Subtitle TitleArtifact TitleAuthorMatch TitleFilename TokenizedAuthors VersionedDOI WorkID Year
+""".split()
+
+
+def reason_name(reason: Column) -> Column:
+    """A reason as text output names it (doi: ReasonDOI); one that isn't known stays as it is."""
+    names = F.create_map(*[F.lit(x) for r in REASONS for x in (r.lower(), r)])
+    return F.concat(F.lit("Reason"), F.coalesce(names[F.lower(reason)], reason))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value): the lines that aren't blank."""
     return spark.read.text(path).filter(F.length(text.trim(F.col("value"))) > 0)
@@ -55,4 +71,4 @@ def write_clusters(clusters: DataFrame, path: str) -> None:
 
 def write_matches(matches: DataFrame, path: str) -> None:
     """"pivot ref Status Reason" per line, separated by spaces."""
-    matches.select(F.concat_ws(" ", "pivot_ident", "ref_ident", F.concat(F.lit("Status"), F.initcap("status")), F.concat(F.lit("Reason"), "reason")).alias("value")).write.text(path)
+    matches.select(F.concat_ws(" ", "pivot_ident", "ref_ident", F.concat(F.lit("Status"), F.initcap("status")), reason_name(F.col("reason"))).alias("value")).write.text(path)

@@ -98,7 +98,7 @@ def test_biblioref_lines(spark):
     u = convert.RELEASE_URL
     lines = spark.createDataFrame([("k t s",), ("k same same",), (f"{u}t {u}s Status.STRONG Reason.X",), ("too few",), ("a b c d e",)], "value string")
     got = {(r.source_release_ident, r.target_release_ident, r.match_provenance, r.match_status, r.match_reason) for r in convert.biblioref_from_pairs(lines).collect()}
-    assert got == {("s", "t", "join", "", ""), ("s", "t", "fuzzycat/ebee2de", "STRONG", "X")}
+    assert got == {("s", "t", "join", "", ""), ("s", "t", "verifier", "STRONG", "X")}
 
 
 def test_json(spark):
@@ -108,7 +108,7 @@ def test_json(spark):
     r = refs.first()
     assert (r.biblio.title, r.biblio.doi, r.work_ident, r["index"]) == ("T", "", "", 1)
     rel = convert.ref_to_release(refs).first()
-    assert (rel.release_year, rel.contribs[0].raw_name, rel.extra.skate.status, rel.extra.skate.ref["index"]) == ("2000", "A", "ref", 1)
+    assert (rel.release_year, rel.contribs[0].raw_name, rel.extra.mark.status, rel.extra.mark.ref["index"]) == ("2000", "A", "ref", 1)
     assert extract.from_unstructured(refs).first().biblio.doi == "k"
     with pytest.raises(Exception):
         schemas.decode(lines, schemas.REF, best_effort=False).collect()
@@ -123,9 +123,9 @@ def test_files(spark, tmp_path):
     c = spark.createDataFrame([('q"k', ['{"i":1}', '{"i":2}'])], "key string, docs array<string>")
     files.write_clusters(c, str(tmp_path / "c"))
     assert json.loads(spark.read.text(str(tmp_path / "c")).first().value) == {"k": 'q"k', "v": [{"i": 1}, {"i": 2}]}
-    m = spark.createDataFrame([("p", "r", "strong", "x")], "pivot_ident string, ref_ident string, status string, reason string")
+    m = spark.createDataFrame([("p", "r", "exact", "doi"), ("p", "s", "different", "pmiddoipair"), ("p", "t", "strong", "jaccardauthors")], "pivot_ident string, ref_ident string, status string, reason string")
     files.write_matches(m, str(tmp_path / "m"))
-    assert spark.read.text(str(tmp_path / "m")).first().value == "p r StatusStrong Reasonx"
+    assert {r.value for r in spark.read.text(str(tmp_path / "m")).collect()} == {"p r StatusExact ReasonDOI", "p s StatusDifferent ReasonPMIDDOIPair", "p t StatusStrong ReasonJaccardAuthors"}
 
 
 def test_doi_in_line(spark):

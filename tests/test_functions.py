@@ -53,3 +53,16 @@ def test_sets(spark):
     a, b, e = F.col("a"), F.col("b"), F.col("e")
     row = df.select(sets.top_k(a, 2).alias("k"), sets.size(sets.union(a, b)).alias("u"), sets.intersection(a, b).alias("i"), sets.equals(a, a).alias("q"), sets.largest().alias("hi"), sets.smallest().alias("lo"), sets.average_score(F.array(a), F.slice(F.array(e), 1, 0)).alias("s"), sets.join(sets.add(b, F.lit("0")), ",").alias("j"), F.size(sets.product(a, b)).alias("p")).first()
     assert (row.k, row.u, row.i, row.q, row.hi, row.lo, row.s, row.j, row.p) == (["2", "3"], 5, ["2"], True, 0, 2147483647, 0.0, "0,1,2", 8)
+
+
+def test_phonetic_letters():
+    """Letters whose upper case is several letters are dropped, not widened."""
+    assert keys.nysiis_code("straße") == keys.nysiis_code("strae") == "STR"
+    assert keys.nysiis_code("\ufb01sh") == keys.nysiis_code("sh")
+
+
+def test_prefixes(spark):
+    c = F.col("c0")
+    cases = [("Original Article: Title: x",), ("article: title: x\ny",), ("an article: x",)]
+    assert values(spark, keys.key_tsand(c), *cases) == ["originalarticle", "article", "anarticlex"]
+    assert values(spark, keys.key_tsand(c, strip_prefix=True), *cases) == ["x", "xy", "anarticlex"]
