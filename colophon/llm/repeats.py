@@ -165,7 +165,8 @@ def anchored(kind: Kind, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     at = anchor[good]
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (good[1:] != good[:-1] + 1))))
     lo, p = good[new], at[new]
-    return lo, np.diff(np.append(new, len(good))), p - lo, grams[p]
+    # an anchor is the least of its window, so its hash is a small number; mixed again, it goes to any bucket
+    return lo, np.diff(np.append(new, len(good))), p - lo, mix(grams[p])
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
