@@ -30,7 +30,7 @@ def flatten(releases: DataFrame) -> DataFrame:
 def features(releases: DataFrame, blacklist: Blacklist | None = None) -> DataFrame:
     """releases with the columns that the rules compare."""
     black = blacklist or Blacklist()
-    names = F.array_distinct(F.filter(F.transform("authors", lambda x: text.trim(F.coalesce(x, F.lit("")))), lambda x: x != ""))
+    names = F.array_sort(F.array_distinct(F.filter(F.transform("authors", lambda x: text.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")))
     out = releases.withColumns(
         {"title_lower": text.lower(F.col("title")), "slug": text.slugify(F.col("title")), "names": names, "sub_slugs": F.array_distinct(F.transform("subtitles", text.slugify)), "doi_prefix": text.doi_prefix(F.col("doi")), "parsed": text.parse_pages(F.col("pages"))}
     )
@@ -112,8 +112,8 @@ RULES: list[tuple[str, str, str]] = [
     (f"{SAME_SLUG} AND ((a.doi_prefix = '10.1109' AND b.arxiv <> '') OR (b.doi_prefix = '10.1109' AND a.arxiv <> ''))", "strong", "customieeearxiv"),
     (f"{SAME_SLUG} AND " + both("doi", "10.7916/"), "ambiguous", "customprefix107916"),
     (f"{SAME_SLUG} AND size(a.sub_slugs) > 0 AND size(b.sub_slugs) > 0 AND size(array_union(a.sub_slugs, b.sub_slugs)) > 1", "different", "subtitle"),
-    (f"a.title_lower = b.title_lower AND size(a.names) > 0 AND array_sort(a.names) = array_sort(b.names) AND {apart(4)}", "different", "year"),
-    ("a.title_lower = b.title_lower AND size(a.names) > 0 AND array_sort(a.names) = array_sort(b.names)", "exact", "titleauthormatch"),
+    (f"a.title_lower = b.title_lower AND size(a.names) > 0 AND a.names = b.names AND {apart(4)}", "different", "year"),
+    ("a.title_lower = b.title_lower AND size(a.names) > 0 AND a.names = b.names", "exact", "titleauthormatch"),
     ("(a.filename OR b.filename) AND a.title <> b.title", "different", "titlefilename"),
     (f"a.title <> '' AND a.title = b.title AND {apart(2)}", "different", "year"),
     ("length(a.slug) < 10 AND a.slug <> b.slug", "ambiguous", "shorttitle"),
@@ -128,7 +128,7 @@ RULES: list[tuple[str, str, str]] = [
     (NO_COMMON_NAME, "different", "contribintersectionempty"),
     ("a.doi_prefix = '10.5860' OR b.doi_prefix = '10.5860'", "ambiguous", "customprefix105860choicereview"),
     ("{pages} AND abs(a.parsed.count - b.parsed.count) > 5", "different", "pagecount"),
-    ("array_sort(a.names) = array_sort(b.names) AND a.container_id = b.container_id AND a.year = b.year AND a.title <> b.title AND (contains(a.title, b.title) OR contains(b.title, a.title))", "strong", "titleartifact"),
+    ("a.names = b.names AND a.container_id = b.container_id AND a.year = b.year AND a.title <> b.title AND (contains(a.title, b.title) OR contains(b.title, a.title))", "strong", "titleartifact"),
 ]
 DEFAULT = ("ambiguous", "unknown")
 _OVERLAP = "size(array_intersect(x, y)) / size(array_union(x, y))"

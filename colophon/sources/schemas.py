@@ -35,22 +35,27 @@ def decode(lines: DataFrame, fields: str, column: str = "value", best_effort: bo
     kind = struct_type(fields)
     probe = StructType([*kind.fields]).add("__bad", "string")
     got = F.from_json(F.col(column), probe, {"mode": "PERMISSIVE" if best_effort else "FAILFAST", "columnNameOfCorruptRecord": "__bad"})
-    rows = lines.select(F.col(column).alias("doc"), got.alias("r")).filter("r.__bad IS NULL AND r IS NOT NULL")
+    # behind a generator of one row, as else the filter would take the parsing along and each line be parsed twice
+    rows = lines.select(F.col(column).alias("doc"), F.explode(F.array(got)).alias("r")).filter("r.__bad IS NULL AND r IS NOT NULL")
     return rows.select(*[filled(F.col("r")[f.name], f.dataType).alias(f.name) for f in kind.fields], "doc")
 
 
+def bare(x: Column, kind: DataType) -> Column:
+    """x without its empty strings, zeros and empty arrays, at every depth. Structs stay, empty or not."""
+    if isinstance(kind, StructType):
+        fields = [bare(x[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(x.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        inner = F.transform(x, lambda e: bare(e, kind.elementType)) if isinstance(kind.elementType, StructType) else x
+        return F.when(F.size(x) > 0, inner)
+    if isinstance(kind, StringType):
+        return F.nullif(x, F.lit(""))
+    if kind.typeName() in ("integer", "long"):
+        return F.nullif(x, F.lit(0).cast(kind))
+    return x
+
+
 def encode(rows: DataFrame, *columns: str) -> DataFrame:
-    """One column ``value``: a JSON object per row, without empty strings and zeros."""
-    out = []
-    for f in rows.schema.fields:
-        if columns and f.name not in columns:
-            continue
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, StringType):
-            c = F.nullif(c, F.lit(""))
-        elif f.dataType.typeName() in ("integer", "long"):
-            c = F.nullif(c, F.lit(0).cast(f.dataType))
-        elif isinstance(f.dataType, ArrayType):
-            c = F.when(F.size(c) > 0, c)
-        out.append(c.alias(f.name))
-    return rows.select(F.to_json(F.struct(*out)).alias("value"))
+    """One column ``value``: a JSON object per row, without empty strings, zeros and empty arrays at any depth."""
+    kept = [f for f in rows.schema.fields if not columns or f.name in columns]
+    return rows.select(F.to_json(F.struct(*[bare(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in kept])).alias("value"))

@@ -114,6 +114,9 @@ def test_json(spark):
         schemas.decode(lines, schemas.REF, best_effort=False).collect()
     out = schemas.encode(spark.createDataFrame([("", 0, "x")], "a string, b int, c string")).first().value
     assert out == '{"c":"x"}'
+    deep = spark.createDataFrame([(("", 0, [], [("", 2), ("y", 0)]), "z")], "a struct<b: string, c: long, d: array<string>, e: array<struct<f: string, g: int>>>, h string")
+    assert schemas.encode(deep).first().value == '{"a":{"e":[{"g":2},{"f":"y"}]},"h":"z"}'
+    assert schemas.encode(deep, "a").first().value == '{"a":{"e":[{"g":2},{"f":"y"}]}}'
 
 
 def test_files(spark, tmp_path):
@@ -145,6 +148,31 @@ def test_stream(spark, tmp_path):
     assert [r.value for r in streams.map_lines(lines, lambda x: x.upper() if x == "a" else None).collect()] == ["A"]
 
 
+def test_match_stream(spark, tmp_path):
+    """From JSON releases, through flatten and the cascade, to edges: a stream of references gives what a table of them gives."""
+    release = lambda ident, title, **more: json.dumps({"ident": ident, "title": title, **more})
+    authors = {"contribs": [{"raw_name": "Ann Lee"}, {"raw_name": "Bo Ray"}]}
+    ref = lambda i: {"extra": {"mark": {"status": "ref", "ref": {"index": i, "key": f"k{i}"}}}}
+    table = [release("a", "The Lakes of the North", release_year="1999", work_id="w", **authors), release("c", "Rivers and their Banks", release_year=2001, contribs=[{"raw_name": "Cy Poe"}]), "not json"]
+    refs = [
+        release("r1", "The lakes of the north", release_year=1999, **authors, **ref(1)),
+        release("r2", "Rivers and their banks", contribs=[{"raw_name": "Di Orr"}], **ref(2)),
+        release("r3", "Something else entirely", **ref(3)),
+        release("r4", "", **ref(4)),
+    ]
+    keyed = lambda lines: derive_key(verify.flatten(schemas.decode(lines, schemas.RELEASE)), "tnorm", skip_empty=True).withColumn("doc", F.to_json(F.struct("ident", "title")))
+    lines = lambda rows: spark.createDataFrame([(r,) for r in rows], "value string")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "refs.json").write_text("\n".join(refs))
+    found = streams.match_stream(keyed(streams.read_line_stream(spark, str(tmp_path / "in"))), keyed(lines(table)))
+    streams.write_stream(found, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r.source_release_ident, r.target_release_ident, r.target_work_ident, r.match_status, r.match_reason, r.ref_index, r.ref_key) for r in got] == [("r1", "a", "w", "exact", "titleauthormatch", 1, "k1")]
+    same = match.zip_verify(keyed(lines(table)), keyed(lines(refs))).collect()
+    drop = lambda rows: [{k: v for k, v in r.asDict().items() if k != "update_ts"} for r in rows]
+    assert drop(got) == drop(same)
+
+
 def test_blacklist_table(spark):
     table = spark.createDataFrame([Row(title="x"), Row(title="y")])
     assert load(table).titles == {"x", "y"}
