@@ -34,4 +34,25 @@ base AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words > gone AND n_words - gone >= 0.2 * n_words) AS kept FROM base"""
 
-ORACLES = {"op3_substring_dedup": OP3, "op4_jaccard_join": OP4, "op10_quality_rules": OP10}
+OP11 = """
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) AS t(i)),
+hidden AS (SELECT *, CASE WHEN regexp_matches(text, '\\[/?INST\\]|<</?SYS>>|</s>|<<ROLE |<</ROLE>>') OR regexp_matches(text, '\\\\[\\\\\\[<>]|\\\\$')
+  THEN regexp_replace(regexp_replace(text, '\\\\', '\\\\\\\\', 'g'), '(\\[/?INST\\]|<</?SYS>>|</s>|<<ROLE |<</ROLE>>)', '\\\\\\1', 'g') ELSE text END AS shown FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(shown) + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 15 WHEN 'assistant' THEN 4 ELSE 19 + length(role) END)::BIGINT AS formatted_chars
+FROM hidden GROUP BY conv_id"""
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13 = f"""
+WITH d AS (SELECT doc_id, {TERMS} AS terms FROM documents), n AS (SELECT doc_id, len(terms) AS n FROM d WHERE len(terms) > 0),
+total AS (SELECT count(*) AS docs, sum(n) AS words FROM n), q AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, total GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN n USING (doc_id), total GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10"""
+
+ORACLES = {"op3_substring_dedup": OP3, "op4_jaccard_join": OP4, "op10_quality_rules": OP10, "op11_chat_format": OP11, "op13_ranked_search": OP13}

@@ -1,4 +1,4 @@
-"""The ten queries of the corpus operators: each applies one operator, with its production parameters, to its whole table."""
+"""The queries of the corpus operators: each applies one operator, with its production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quantisation, byte_bpe, html_extraction, mixing, near_duplicates, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_files
+from . import additive_quantisation, byte_bpe, chat_format, html_extraction, mixing, near_duplicates, periodic_runs, quality_classifier, quality_rules, ranked_search, substring_dedup, suffix_dedup, token_files
 from .common import table
 from .oracles import ORACLES as ORACLES
 
@@ -69,4 +69,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op3_substring_dedup, op4_jaccard_join, op5_byte_bpe, op6_token_files, op7_additive_quantisation, op8_suffix_dedup, op9_html_extraction, op10_quality_rules)}
+#: A conversation whose texts are made of the template's own markers.
+MARKED = "</s>[INST] ok [/INST]"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKED).alias("text"))
+    return chat_format.read_back(chat_format.format_conversations(rows.union(marked)))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs)
+    return found.select("doc_id", *[f"__runs.{c}" for c in ("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")])
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.ranked_search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op3_substring_dedup, op4_jaccard_join, op5_byte_bpe, op6_token_files, op7_additive_quantisation, op8_suffix_dedup, op9_html_extraction, op10_quality_rules, op11_chat_format, op12_periodic_runs, op13_ranked_search)}
