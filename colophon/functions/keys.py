@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from . import text
+from .unicode import decomposed
 
 # --- Fixed values: characters that keys replace (lower case; upper-case ones are lowered before), and their spelling ---
 LETTERS = {
@@ -30,11 +28,6 @@ def key_tnorm(title: Column) -> Column:
     return F.regexp_replace(text.lower(key_title(title)), r"[^0-9A-Za-z_]+", "")
 
 
-@F.pandas_udf(StringType())
-def nfkd(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKD", s))
-
-
 def key_tsand(title: Column, strip_prefix: bool = False) -> Column:
     """Slug: letters spelled plainly, decomposed, without punctuation, marks, symbols and spaces.
 
@@ -52,68 +45,53 @@ def key_tsand(title: Column, strip_prefix: bool = False) -> Column:
     for k, v in LETTERS.items():
         if len(v) > 1:
             slug = F.replace(slug, F.lit(k), F.lit(v))
-    return text.lower(F.regexp_replace(nfkd(slug), DROPPED, ""))
-
-
-VOWELS = frozenset("AEIOU")
-
-
-def nysiis_code(name: str) -> str:
-    """New York State phonetic code of the letters A to Z in a name, six letters at most."""
-    # letter by letter: a letter whose upper case is several letters stays as it is, and so isn't one of A to Z
-    s = [u for u in map(str.upper, name) if len(u) == 1 and "A" <= u <= "Z"]
-    if not s:
-        return ""
-    word = "".join(s)
-    for head, new in (("MAC", "MCC"), ("KN", "NN"), ("K", "C"), ("PH", "FF"), ("PF", "FF"), ("SCH", "SSS")):
-        if word.startswith(head):
-            word = new + word[len(head) :]
-            break
-    if word[-2:] in ("EE", "IE"):
-        word = word[:-2] + "Y"
-    elif word[-2:] in ("DT", "RT", "RD", "NT", "ND"):
-        word = word[:-2] + "D"
-    s = list(word)
-    out, last, i = [s[0]], s[0], 1
-    at = lambda j: s[j] if 0 <= j < len(s) else ""
-    while i < len(s):
-        c = s[i]
-        if c in "AIOU":
-            s[i] = "A"
-        elif c == "E":
-            if at(i + 1) == "V":
-                s[i + 1] = "F"
-            s[i] = "A"
-        elif c in "QZM":
-            s[i] = {"Q": "G", "Z": "S", "M": "N"}[c]
-        elif c == "K":
-            if at(i + 1) == "N":
-                del s[i]
-            else:
-                s[i] = "C"
-        elif c == "S" and s[i : i + 3] == ["S", "C", "H"]:
-            s[i + 1] = s[i + 2] = "S"
-        elif c == "P" and at(i + 1) == "H":
-            s[i] = s[i + 1] = "F"
-        elif c == "H" and not (at(i - 1) in VOWELS and at(i + 1) in VOWELS) or c == "W" and at(i - 1) in VOWELS:
-            s[i] = s[i - 1]
-        if s[i] != last:
-            out.append(s[i])
-        last = s[i]
-        i += 1
-    if len(out) > 1:
-        if out[-1] == "S":
-            out.pop()
-        if out[-2:] == ["A", "Y"] and len(out) > 2:
-            del out[-2]
-        if out and out[-1] == "A":
-            out.pop()
-    return "".join(out[:6])
-
-
-@F.pandas_udf(StringType())
-def nysiis(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else nysiis_code(s))
+    return text.lower(F.regexp_replace(decomposed(slug), DROPPED, ""))
+
+
+def _nysiis_step(state: Column, i: Column) -> Column:
+    """One letter of the code. The state: the letters, which so are split once; what stands already, the letter put last, and letters that replace the next two."""
+    at = lambda k: F.coalesce(F.get(state.letters, i + k), F.lit(""))
+    c, n1, n2 = F.coalesce(state.now, at(0)), F.coalesce(state.next, at(1)), at(2)
+    vowel = lambda x: x.isin("A", "E", "I", "O", "U")
+    sch, ph = (c == "S") & (n1 == "C") & (n2 == "H"), (c == "P") & (n1 == "H")
+    skipped = (c == "K") & (n1 == "N")
+    put = (
+        F.when(vowel(c), "A").when(c == "Q", "G").when(c == "Z", "S").when(c == "M", "N").when(c == "K", "C").when(ph, "F")
+        .when((c == "H") & ~(vowel(state.last) & vowel(n1)) | (c == "W") & vowel(state.last), state.last)
+        .otherwise(c)
+    )
+    nothing = F.lit(None).cast("string")
+    now = F.when((c == "E") & (n1 == "V"), "F").when(sch, "S").when(ph, "F").otherwise(state.next)
+    made = lambda out, last, now, then: F.struct(state.letters.alias("letters"), out.alias("out"), last.alias("last"), now.alias("now"), then.alias("next"))
+    grown = F.when(put == state.last, state.out).otherwise(F.concat(state.out, put))
+    return F.when(skipped, made(state.out, state.last, state.next, nothing)).otherwise(made(grown, put, now, F.when(sch, F.lit("S"))))
+
+
+# How a name's first and last letters are spelled before the others are looked at, and a code's last letters after.
+HEADS = (("MAC", "MCC"), ("KN", "NN"), ("K", "C"), ("PH", "FF"), ("PF", "FF"), ("SCH", "SSS"))
+TAILS = (("EE|IE", "Y"), ("DT|RT|RD|NT|ND", "D"))
+ENDS = (("S$", ""), ("(?<=.)AY$", "Y"), ("A$", ""))
+
+
+def nysiis(x: Column) -> Column:
+    """New York State phonetic code of the letters A to Z in a name, six letters at most: a fold over the letters."""
+    # two other letters have one of A to Z as their upper case
+    plain = F.upper(F.regexp_replace(F.translate(x, "\u0131\u017f", "is"), "[^A-Za-z]+", ""))
+    word = None
+    for old, new in HEADS:
+        case = F if word is None else word
+        word = case.when(F.startswith(plain, F.lit(old)), F.concat(F.lit(new), F.substr(plain, F.lit(len(old) + 1))))
+    word = word.otherwise(plain)
+    for old, new in TAILS:
+        word = F.regexp_replace(word, f"({old})$", new)
+    first, none = F.left(word, F.lit(1)), F.lit(None).cast("string")
+    zero = F.struct(F.split(word, "").alias("letters"), first.alias("out"), first.alias("last"), none.alias("now"), none.alias("next"))
+    fold = F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), zero, _nysiis_step, lambda s: s.out)
+    code = F.when(F.length(word) > 1, fold).otherwise(first)
+    short = code
+    for old, new in ENDS:
+        short = F.regexp_replace(short, old, new)
+    return F.left(F.when(F.length(code) > 1, short).otherwise(code), F.lit(6))
 
 
 def key_tnysi(title: Column) -> Column:

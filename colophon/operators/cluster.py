@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved
+from .hot import WIDTH, hot_keys, sketch, total, without
+
 MOST = 100_000
 
 
@@ -32,6 +35,17 @@ def cluster(rows: DataFrame, **limits) -> DataFrame:
     return pairs.select("key", F.size("m").alias("n"), F.col("m.ident").alias("idents"), F.col("m.doc").alias("docs"))
 
 
+def cluster_apart(rows: DataFrame, least: int = 2, most: int = MOST, seen=None) -> DataFrame:
+    """cluster() where most rows may have keys above ``most``: those are found by a sketch of the keys alone and go before documents are shuffled. ``seen``: an Observation, which gets the number of rows that are, as ``n``."""
+    counters = saved(sketch(rows))
+    # fewer than total / most keys can be above most
+    kept = without(rows, hot_keys(rows, most, counters=counters), few=total(counters) <= most * WIDTH)
+    if seen is not None:
+        kept = kept.observe(seen, F.count(F.lit(1)).alias("n"))
+    pairs = kept.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ident", "doc"))).alias("m")).filter(F.size("m") >= least)
+    return pairs.select("key", F.size("m").alias("n"), F.col("m.ident").alias("idents"), F.col("m.doc").alias("docs"))
+
+
 def stats(rows: DataFrame, mode: str = "default") -> DataFrame:
     """default: (key, n). count: (key, total, refs, nonrefs). unmatched: (key, n) of the clusters that hold references alone."""
     all_ = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("ref").alias("refs"))

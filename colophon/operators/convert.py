@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fields
-from ..sources.schemas import BIBLIOREF, struct_type
+from ..sources.schemas import BIBLIOREF, MARKER, struct_type
 
 #: What stands before an ident in a verifier's lines, and what its edges are said to come from.
 RELEASE_URL = "https://example.org/release/"
@@ -14,8 +14,8 @@ VERIFIER = "verifier"
 SITEMAP_SKIP = 41
 
 
-def ref_to_release(refs: DataFrame) -> DataFrame:
-    """References as releases: a year counts from 1001 on; stage, type, locator and the bibliographic year aren't taken over. Marked as references in extra.mark."""
+def ref_to_release(refs: DataFrame, marker: str = MARKER) -> DataFrame:
+    """References as releases: a year counts from 1001 on; stage, type, locator and the bibliographic year aren't taken over. Marked as references in the field ``marker`` of extra."""
     b = lambda name: F.col(f"biblio.{name}")
     names = F.transform(b("contrib_raw_names"), lambda x, i: F.struct(i.alias("index"), x.alias("raw_name"), F.lit("").alias("role")))
     blank = F.lit("")
@@ -23,15 +23,15 @@ def ref_to_release(refs: DataFrame) -> DataFrame:
     mark = F.struct(F.lit("ref").alias("status"), F.struct(F.col("index").alias("index"), F.col("key").alias("key"), blank.alias("locator")).alias("ref"), F.struct(blank.alias("url")).alias("rg"))
     return refs.select(
         F.col("release_ident").alias("ident"), F.col("work_ident").alias("work_id"), b("title").alias("title"), b("publisher").alias("publisher"), b("container_name").alias("container_name"), b("volume").alias("volume"), b("issue").alias("issue"), b("pages").alias("pages"),
-        F.when(F.col("release_year") > 1000, F.col("release_year").cast("string")).otherwise("").alias("release_year"), ids.alias("ext_ids"), names.alias("contribs"), F.struct(mark.alias("mark")).alias("extra"),
+        F.when(F.col("release_year") > 1000, F.col("release_year").cast("string")).otherwise("").alias("release_year"), ids.alias("ext_ids"), names.alias("contribs"), F.struct(mark.alias(marker)).alias("extra"),
     )
 
 
-def sitemap_to_release(entries: DataFrame) -> DataFrame:
+def sitemap_to_release(entries: DataFrame, marker: str = MARKER) -> DataFrame:
     """(title, url) as releases; the ident is what follows the fixed start of the url, up to an underscore."""
     url = F.col("url")
     ident = F.when(F.octet_length(url) > SITEMAP_SKIP, F.substring_index(F.substr(url, F.lit(SITEMAP_SKIP + 1)), "_", 1)).otherwise("")
-    return entries.select(ident.alias("ident"), "title", F.struct(F.struct(F.lit("rg").alias("status"), F.struct(url.alias("url")).alias("rg")).alias("mark")).alias("extra"))
+    return entries.select(ident.alias("ident"), "title", F.struct(F.struct(F.lit("rg").alias("status"), F.struct(url.alias("url")).alias("rg")).alias(marker)).alias("extra"))
 
 
 def biblioref(**values: Column) -> list[Column]:

@@ -2,7 +2,8 @@
 
 The pivot of a key is its first release by (ident, doc), found by an aggregate that combines before the shuffle, so a
 common key costs one row per task; references then join it. Edges never need a key's rows in one place. Only zip_groups,
-whose result is one row per key, puts them there; zip_pieces gives the same in rows of bounded size.
+whose result is one row per key, puts them there; zip_pieces gives the same in rows of bounded size. Over key tables, which
+are in buckets by key, a zip reads both sides without a shuffle.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import KeyTable, saved
 from .convert import biblioref
+from .hot import hot_keys, sketch, total
+from .reduce import semi_reduce
 from .verify import as_struct, features, verify_pairs
 
 
@@ -38,10 +42,11 @@ def zip_pieces(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def zip_groups(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(key, g0, g1): the docs of both sides for each key that both have, in order. A key is one row, so one task must hold its docs; pieces arrive sorted and are only put one after another."""
-    pieces = lambda n: F.sort_array(F.collect_list(F.when(F.col("side") == n, F.struct("piece", "docs"))))
-    joined = lambda n: F.flatten(F.transform(pieces(n), lambda x: x.docs)).alias(f"g{n}")
-    return zip_pieces(left, right).groupBy("key").agg(joined(0), joined(1))
+    """(key, g0, g1): the docs of both sides for each key that both have, in order. A key is one row, so one task must hold its docs: see zip_pieces for common keys."""
+    sided = lambda df, n: df.select("key", F.lit(n).alias("side"), "doc")
+    docs = lambda n: F.sort_array(F.collect_list(F.when(F.col("side") == n, F.col("doc")))).alias(f"g{n}")
+    rows = sided(left, 0).union(sided(right, 1)).filter("key <> ''")
+    return rows.groupBy("key").agg(docs(0), docs(1)).filter("size(g0) > 0 AND size(g1) > 0")
 
 
 def unmatched(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -49,10 +54,11 @@ def unmatched(left: DataFrame, right: DataFrame) -> DataFrame:
     return right.join(left.select("key").filter("key <> ''"), "key", "left_anti")
 
 
-def zip_exact(releases: DataFrame, refs: DataFrame, reason: str = "unknown", provenance: str = "join") -> DataFrame:
-    """An edge from each reference to its key's pivot. releases: key, ident, doc, work_id; refs: key, release_ident, work_ident, release_stage, release_year, index, ref_key."""
+def zip_exact(releases: DataFrame, refs: DataFrame, reason: str = "unknown", provenance: str = "join", few_keys: bool = False) -> DataFrame:
+    """An edge from each reference to its key's pivot. releases: key, ident, doc, work_id; refs: key, release_ident, work_ident, release_stage, release_year, index, ref_key. ``few_keys``: pivots are known to be few, and are broadcast."""
     status = "exact" if reason in ("doi", "pmid", "pmcid", "arxiv") else "unknown"
-    joined = refs.filter("key <> ''").join(pivots(releases.select("key", "ident", "doc", "work_id")), "key")
+    pivot = pivots(releases.select("key", "ident", "doc", "work_id"))
+    joined = refs.filter("key <> ''").join(F.broadcast(pivot) if few_keys else pivot, "key")
     c = F.col
     return joined.select(
         *biblioref(
@@ -74,12 +80,45 @@ def fuzzy_edge(a: str = "a", b: str = "b") -> list[Column]:
 CONFIRMED = "status IN ('exact', 'strong') AND reason <> 'doi'"
 
 
-def zip_verify(releases: DataFrame, refs: DataFrame, blacklist=None, **options) -> DataFrame:
+def zip_verify(releases: DataFrame, refs: DataFrame, blacklist=None, few_keys: bool = False, **options) -> DataFrame:
     """Edges from references to their key's pivot that the cascade confirms. Both sides: key, ident, doc and the columns of verify.INPUTS; features are made of the pivots only."""
     left = pivots(releases).select("key", "a.*")
     pivot = as_struct(features(left, blacklist), "a", "key")
     right = as_struct(features(refs.filter("key <> ''"), blacklist), "b", "key")
-    return verify_pairs(right.join(pivot, "key"), **options).filter(CONFIRMED).select(*fuzzy_edge())
+    return verify_pairs(right.join(F.broadcast(pivot) if few_keys else pivot, "key"), **options).filter(CONFIRMED).select(*fuzzy_edge())
+
+
+def zip_verify_reduced(releases: DataFrame, refs: DataFrame, error: float = 0.01, seen=None, **options) -> DataFrame:
+    """zip_verify, with features made only of references that pass a Bloom filter of the releases' keys. ``seen``: an Observation, which gets their number as ``n``."""
+    few = semi_reduce(refs.filter("key <> ''"), releases.filter("key <> ''").select("key"), error)
+    if seen is not None:
+        few = few.observe(seen, F.count(F.lit(1)).alias("n"))
+    return zip_verify(releases, few, **options)
+
+
+#: At most so many keys can be common ones.
+PARTS = 1000
+
+
+def common_keys(rows: DataFrame, parts: int = PARTS) -> list[str]:
+    """The keys, fewer than ``parts``, that hold more than one of so many parts of the rows each."""
+    counters = saved(sketch(rows))
+    return [r[0] for r in hot_keys(rows, max(1, total(counters) // parts), counters=counters).select("key").collect()]
+
+
+def zip_tables(zip_, left: KeyTable, right: KeyTable, hot: list[str] | tuple = (), **options) -> DataFrame:
+    """zip_exact or zip_verify over key tables of as many buckets: nothing is shuffled. Rows of ``hot`` keys, which would make a bucket too large, are read as plain files and meet their pivots, one per key, by a broadcast."""
+    if not hot:
+        return zip_(left.rows(), right.rows(), **options)
+    is_hot = F.col("key").isin(list(hot))
+    cold = zip_(left.rows().filter(~is_hot), right.rows().filter(~is_hot), **options)
+    return cold.unionByName(zip_(left.files().filter(is_hot), right.files().filter(is_hot), few_keys=True, **options))
+
+
+def zip_tables_groups(left: KeyTable, right: KeyTable) -> DataFrame:
+    """zip_groups over key tables of as many buckets, without a shuffle."""
+    docs = lambda t, n: t.rows().filter("key <> ''").groupBy("key").agg(F.sort_array(F.collect_list("doc")).alias(f"g{n}"))
+    return docs(left, 0).join(docs(right, 1), "key")
 
 
 def _cluster_pairs(rows: DataFrame, blacklist, **options) -> DataFrame:

@@ -11,19 +11,21 @@ from pyspark.sql import functions as F
 
 from ..functions import sets, text
 from ..functions.blacklist import Blacklist
+from ..sources.schemas import MARKER
 
 #: What features() reads. Strings are never null; subtitles, related and authors are arrays of strings.
 INPUTS = "ident work_id title container_id extra_container_name doi pmid arxiv jstor release_type year pages subtitles crossref_type metadata_version relations related authors".split()
 
 
-def flatten(releases: DataFrame) -> DataFrame:
-    """Decoded releases (sources.schemas.RELEASE) as the flat columns of INPUTS, with stage and reference marks."""
+def flatten(releases: DataFrame, marker: str = MARKER) -> DataFrame:
+    """Decoded releases (sources.schemas.release_fields) as the flat columns of INPUTS, with stage and reference marks."""
     c = F.col
+    mark = f"extra.`{marker}`"
     doi_links = F.transform(F.filter("extra.datacite.relations", lambda r: F.lower(r.relatedIdentifierType) == "doi"), lambda r: text.text_of(r.relatedIdentifier))
     return releases.select(
         "ident", "work_id", "title", "container_id", c("extra.container_name").alias("extra_container_name"), c("ext_ids.doi").alias("doi"), c("ext_ids.pmid").alias("pmid"), c("ext_ids.arxiv").alias("arxiv"), c("ext_ids.jstor").alias("jstor"), "release_type",
         text.year_of(c("release_year")).alias("year"), "pages", text.subtitles_of(c("extra.subtitle")).alias("subtitles"), c("extra.crossref.type").alias("crossref_type"), c("extra.datacite.metadataVersion").alias("metadata_version"),
-        F.size("extra.datacite.relations").alias("relations"), doi_links.alias("related"), c("contribs.raw_name").alias("authors"), "release_stage", c("extra.mark.status").alias("mark_status"), c("extra.mark.ref.index").alias("ref_index"), c("extra.mark.ref.key").alias("ref_key"),
+        F.size("extra.datacite.relations").alias("relations"), doi_links.alias("related"), c("contribs.raw_name").alias("authors"), "release_stage", c(f"{mark}.status").alias("mark_status"), c(f"{mark}.ref.index").alias("ref_index"), c(f"{mark}.ref.key").alias("ref_key"),
     )
 
 
@@ -34,16 +36,11 @@ def features(releases: DataFrame, blacklist: Blacklist | None = None) -> DataFra
     out = releases.withColumns(
         {"title_lower": text.lower(F.col("title")), "slug": text.slugify(F.col("title")), "names": names, "sub_slugs": F.array_distinct(F.transform("subtitles", text.slugify)), "doi_prefix": text.doi_prefix(F.col("doi")), "parsed": text.parse_pages(F.col("pages"))}
     )
-    fragment = F.lit(False)
-    for f in black.fragments:
-        fragment = fragment | F.contains("title_lower", F.lit(f))
-    out = out.withColumns(
+    out = black.mark(out).withColumns(
         {
             "slug_names": F.array_distinct(F.transform("names", text.slugify)),
             "slug_plain": F.replace("slug", F.lit(" "), F.lit("")),
             "slug_digits": text.unify_digits(F.col("slug")),
-            "blacklisted": F.col("title_lower").isin(sorted(black.titles)),
-            "fragment": fragment,
             "filename": text.looks_like_filename(F.col("title")),
             "appendix": F.col("title").rlike(r"appendix ?[^ ]*\z"),
             "versioned": F.col("doi").rlike(r"(?d)10[.].*/v[0-9]{1,}\z"),

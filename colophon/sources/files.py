@@ -12,10 +12,11 @@ from .schemas import decode, encode
 # --- Fixed values: the names of reasons in text output -----------------------------------------------------------------
 REASONS = """
 Unknown Appendix Arxiv ArxivVersion Blacklisted BlacklistedFragment BookChapter ChemFormula Component Container
-ContainerNameBlacklist ContribIntersectionEmpty CustomBSISubdoc CustomBSIUndated CustomIEEEArxiv CustomIOPMAPattern CustomVHS
-DOI DataciteRelatedID DataciteVersion DatasetDOI FigshareVersion JaccardAuthors JstorID MaxClusterSizeExceeded NumDiff PMCID
-PMID PMIDDOIPair PageCount PreprintPublished PublisherBlacklist ReleaseType SharedDOIPrefix ShortTitle SingularCluster
-SlugTitleAuthorMatch Subtitle TitleArtifact TitleAuthorMatch TitleFilename TokenizedAuthors VersionedDOI WorkID Year
+ContainerNameBlacklist ContribIntersectionEmpty CustomBSISubdoc CustomBSIUndated CustomIEEEArxiv CustomIOPMAPattern
+CustomPrefix1014288 CustomPrefix105860ChoiceReview CustomPrefix107916 CustomVHS DOI DataciteRelatedID DataciteVersion DatasetDOI
+FigshareVersion JaccardAuthors JstorID MaxClusterSizeExceeded NumDiff PMCID PMID PMIDDOIPair PageCount PreprintPublished
+PublisherBlacklist ReleaseType SharedDOIPrefix ShortTitle SingularCluster SlugTitleAuthorMatch Subtitle TitleArtifact
+TitleAuthorMatch TitleFilename TokenizedAuthors VersionedDOI WorkID Year
 """.split()
 
 
@@ -40,6 +41,24 @@ def read_tsv(spark: SparkSession, path: str, names: list[str], separator: str =
     return lines.select(*[text.line_column(F.col("value"), separator, i + 1).alias(n) for i, n in enumerate(names)])
 
 
+def read_matches(spark: SparkSession, path: str) -> DataFrame:
+    """(pivot_ident, ref_ident, status, reason): what write_matches wrote, statuses and reasons in lower case and without what stands before them."""
+    bare = lambda c, head: F.lower(F.regexp_replace(c, f"^{head}", "")).alias(head.lower())
+    return read_tsv(spark, path, ["pivot_ident", "ref_ident", "status", "reason"], " ").select("pivot_ident", "ref_ident", bare("status", "Status"), bare("reason", "Reason"))
+
+
+def read_clusters(spark: SparkSession, path: str) -> DataFrame:
+    """(key, docs): what write_clusters wrote; documents as JSON."""
+    kind = "k string, v array<variant>"
+    got = spark.read.text(path).select(F.from_json("value", kind).alias("c"))
+    return got.select(F.col("c.k").alias("key"), F.transform("c.v", lambda d: F.to_json(d)).alias("docs"))
+
+
+def write_stats(stats: DataFrame, path: str) -> None:
+    """Lines of total, refs, nonrefs, key, or of n and key, whichever stats has."""
+    write_tsv(stats, path, *[c for c in ("total", "refs", "nonrefs", "n") if c in stats.columns], "key")
+
+
 def read_keyed(spark: SparkSession, path: str) -> DataFrame:
     """(ident, key, doc): what write_keyed wrote."""
     return read_tsv(spark, path, ["ident", "key", "doc"])

@@ -9,10 +9,17 @@ from pyspark.sql.types import ArrayType, DataType, StringType, StructType, Varia
 # --- Fixed values: the records' fields ------------------------------------------------------------------------------
 REF = "biblio struct<arxiv_id string, container_name string, contrib_raw_names array<string>, doi string, issue string, pmcid string, pmid string, pages string, publisher string, title string, unstructured string, url string, volume string, year bigint>, index bigint, key string, ref_source string, release_year int, release_ident string, release_stage string, work_ident string"
 RELEASE = "container_id string, container_name string, contribs array<struct<index int, raw_name string, role string>>, ext_ids struct<doi string, pmid string, pmcid string, arxiv string, core string, wikidata_qid string, jstor string>, ident string, publisher string, refs array<struct<container_name string, extra struct<doi string, authors array<string>, key string, year string, locator string, volume string>, index bigint, key string, locator string, year bigint>>, release_date string, release_year variant, release_stage string, release_type string, issue string, volume string, pages string, title string, work_id string, extra struct<container_name string, subtitle variant, crossref struct<type string>, datacite struct<metadataVersion int, relations array<struct<relatedIdentifierType string, relatedIdentifier variant>>>, mark struct<status string, ref struct<index bigint, key string, locator string>, rg struct<url string>>>"
+#: The field of a release's extra that says where it comes from; releases of other sources may name it differently.
+MARKER = "mark"
 SITEMAP = "lastmod string, title string, url string"
 BIBLIOREF = "_id string, update_ts bigint, source_release_ident string, source_work_ident string, source_wikipedia_article string, source_release_stage string, source_year string, ref_index bigint, ref_key string, ref_locator string, target_release_ident string, target_work_ident string, target_openlibrary_work string, target_url_surt string, target_url string, match_provenance string, match_status string, match_reason string, target_unstructured string, target_csl string"
 
 
+def release_fields(marker: str = MARKER) -> str:
+    """RELEASE, with its marker under another name."""
+    return RELEASE.replace(f", {MARKER} struct<status", f", `{marker}` struct<status")
+
+
 def struct_type(fields: str) -> StructType:
     return _parse_datatype_string(fields)
 
