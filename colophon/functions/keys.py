@@ -48,23 +48,36 @@ def key_tsand(title: Column, strip_prefix: bool = False) -> Column:
     return text.lower(F.regexp_replace(decomposed(slug), DROPPED, ""))
 
 
-def _nysiis_step(state: Column, i: Column) -> Column:
-    """One letter of the code. The state: the letters, which so are split once; what stands already, the letter put last, and letters that replace the next two."""
-    at = lambda k: F.coalesce(F.get(state.letters, i + k), F.lit(""))
-    c, n1, n2 = F.coalesce(state.now, at(0)), F.coalesce(state.next, at(1)), at(2)
+#: What ends a code can't reach its first six letters once so many stand.
+ENOUGH = 10
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is made once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _nysiis_step(state: Column, at: Column) -> Column:
+    """One letter of the code. The state: what stands already, the letter put last, and letters that replace the next two. It stays small, as Spark copies it at each letter."""
+    letter = lambda k: F.coalesce(at[k], F.lit(""))
+    here = F.struct(F.coalesce(state.now, letter("0")).alias("c"), F.coalesce(state.next, letter("1")).alias("n1"), letter("2").alias("n2"))
+    return F.when(F.length(state.out) >= ENOUGH, state).otherwise(_let(here, lambda x: _nysiis_letter(state, x.c, x.n1, x.n2)))
+
+
+def _nysiis_letter(state: Column, c: Column, n1: Column, n2: Column) -> Column:
+    """The state after letter c, which n1 and n2 follow."""
     vowel = lambda x: x.isin("A", "E", "I", "O", "U")
     sch, ph = (c == "S") & (n1 == "C") & (n2 == "H"), (c == "P") & (n1 == "H")
-    skipped = (c == "K") & (n1 == "N")
     put = (
         F.when(vowel(c), "A").when(c == "Q", "G").when(c == "Z", "S").when(c == "M", "N").when(c == "K", "C").when(ph, "F")
         .when((c == "H") & ~(vowel(state.last) & vowel(n1)) | (c == "W") & vowel(state.last), state.last)
         .otherwise(c)
     )
-    nothing = F.lit(None).cast("string")
     now = F.when((c == "E") & (n1 == "V"), "F").when(sch, "S").when(ph, "F").otherwise(state.next)
-    made = lambda out, last, now, then: F.struct(state.letters.alias("letters"), out.alias("out"), last.alias("last"), now.alias("now"), then.alias("next"))
-    grown = F.when(put == state.last, state.out).otherwise(F.concat(state.out, put))
-    return F.when(skipped, made(state.out, state.last, state.next, nothing)).otherwise(made(grown, put, now, F.when(sch, F.lit("S"))))
+    made = lambda out, last, now, then: F.struct(out.alias("out"), last.alias("last"), now.alias("now"), then.alias("next"))
+    grown = lambda p: made(F.when(p == state.last, state.out).otherwise(F.concat(state.out, p)), p, now, F.when(sch, F.lit("S")))
+    skipped = made(state.out, state.last, state.next, F.lit(None).cast("string"))
+    return F.when((c == "K") & (n1 == "N"), skipped).otherwise(_let(put, grown))
 
 
 # How a name's first and last letters are spelled before the others are looked at, and a code's last letters after.
@@ -84,14 +97,22 @@ def nysiis(x: Column) -> Column:
     word = word.otherwise(plain)
     for old, new in TAILS:
         word = F.regexp_replace(word, f"({old})$", new)
-    first, none = F.left(word, F.lit(1)), F.lit(None).cast("string")
-    zero = F.struct(F.split(word, "").alias("letters"), first.alias("out"), first.alias("last"), none.alias("now"), none.alias("next"))
-    fold = F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), zero, _nysiis_step, lambda s: s.out)
-    code = F.when(F.length(word) > 1, fold).otherwise(first)
-    short = code
-    for old, new in ENDS:
-        short = F.regexp_replace(short, old, new)
-    return F.left(F.when(F.length(code) > 1, short).otherwise(code), F.lit(6))
+    return _let(F.split(word, ""), _nysiis_fold)
+
+
+def _nysiis_fold(letters: Column) -> Column:
+    first, none = F.coalesce(F.get(letters, F.lit(0)), F.lit("")), F.lit(None).cast("string")
+    zero = F.struct(first.alias("out"), first.alias("last"), none.alias("now"), none.alias("next"))
+    # each letter from the second on with the two after it
+    rest = F.arrays_zip(*[F.slice(letters, k, F.size(letters)) for k in (2, 3, 4)])
+
+    def ended(state: Column) -> Column:
+        short = state.out
+        for old, new in ENDS:
+            short = F.regexp_replace(short, old, new)
+        return F.left(F.when(F.length(state.out).between(2, ENOUGH - 1), short).otherwise(state.out), F.lit(6))
+
+    return F.aggregate(rest, zero, _nysiis_step, ended)
 
 
 def key_tnysi(title: Column) -> Column:

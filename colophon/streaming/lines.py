@@ -13,6 +13,7 @@ from ..operators.convert import ref_to_release
 from ..operators.extract import from_unstructured
 from ..operators.match import CONFIRMED, fuzzy_edge, pivots
 from ..operators.verify import as_struct, features, verify_pairs
+from ..sources.edges import EdgeStore
 from ..sources.schemas import REF, decode
 
 
@@ -42,6 +43,11 @@ def write_stream(rows: DataFrame, out: str, checkpoint: str, form: str = "parque
     return rows.writeStream.format(form).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upsert_stream(edges: DataFrame, store: EdgeStore, checkpoint: str):
+    """Puts the edges of a stream into a store, batch by batch; a batch that is repeated changes nothing."""
+    return edges.writeStream.foreachBatch(lambda rows, _: store.upsert(rows)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def map_lines(lines: DataFrame, function: Callable[[str], str | None]) -> DataFrame:
     """A Python function per line, for what has no other form; an empty result drops the line."""
 

@@ -4,10 +4,9 @@ import os
 from pathlib import Path
 
 import pytest
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from colophon.functions.blacklist import Blacklist, load
+from colophon.functions.blacklist import Blacklist
 from colophon.functions.keys import derive_key
 from colophon.operators import cluster, convert, extract, match, verify
 from colophon.plans.scenarios import DEFAULTS, SCENARIOS
@@ -173,13 +172,6 @@ def test_match_stream(spark, tmp_path):
     assert drop(got) == drop(same)
 
 
-def test_blacklist_table(spark):
-    table = spark.createDataFrame([Row(title="x"), Row(title="y")])
-    assert load(table).titles == {"x", "y"}
-    with pytest.raises(ValueError):
-        load(table, most=1)
-
-
 def test_derive_key_skips_empty(spark):
     rows = spark.createDataFrame([(" 1 ", "A b"), ("2", "!!"), ("3", None)], "ident string, title string")
     assert [(r.ident, r.key) for r in derive_key(rows, "tnorm", skip_empty=True).collect()] == [("1", "ab")]
