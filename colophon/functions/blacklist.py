@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TITLES = frozenset(
-    {"", "abstract", "abstracts", "acknowledgements", "advertisement", "announcements", "appendix", "author index", "book review", "book reviews", "contents", "correction", "corrigendum", "cover", "editorial", "errata", "erratum", "foreword", "front matter", "index", "introduction", "letter to the editor", "masthead", "news", "notes", "obituary", "preface", "references", "reviews", "table of contents", "title page"}
+    {"", "abstract", "abstracts", "acknowledgements", "advertisement", "announcements", "appendix", "author index", "book review", "book reviews", "contents", "correction", "corrigendum", "cover", "editorial", "errata", "erratum", "foreword", "front matter", "index", "introduction", "letter to the editor", "masthead", "news", "notes", "obituary", "preface", "receive tables of contents by e-mail", "references", "reviews", "table of contents", "title page"}
 )
 # Parts of titles that results must not match on.
 FRAGMENTS = (
