@@ -27,7 +27,7 @@ tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELE
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM tri, range(3) AS r(k) WHERE c > 1 GROUP BY doc_id),
 l AS (SELECT doc_id, source, text, {NORM} AS h FROM (SELECT doc_id, source, text, unnest(lines) AS line FROM w)),
 hosts AS (SELECT source, count(DISTINCT text) AS docs FROM l GROUP BY source),
-often AS (SELECT l.source, h FROM l JOIN hosts ON l.source IS NOT DISTINCT FROM hosts.source GROUP BY l.source, h HAVING count(DISTINCT text) >= 50 AND count(DISTINCT text) > 0.05 * max(docs)),
+often AS (SELECT l.source, h FROM l JOIN hosts ON l.source IS NOT DISTINCT FROM hosts.source GROUP BY l.source, h HAVING count(DISTINCT text) >= 5 AND count(DISTINCT text) > 0.05 * max(docs)),
 removed AS (SELECT doc_id, sum(len(string_split(l.h, ' '))) AS n FROM l JOIN often ON l.source IS NOT DISTINCT FROM often.source AND l.h = often.h GROUP BY doc_id),
 base AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(removed.n, 0) AS gone FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN removed USING (doc_id))

@@ -9,7 +9,7 @@ documents or more. A document is rejected if it fails the rules on its own text,
 Defined cases. A null text is an empty text: no words, so the base rules reject it. A null source is a host of its own; a
 null doc_id is kept as it is. Repeated rows give repeated results. Empty tables give empty results. Columns other than
 doc_id, text and source pass through untouched, but for those named like a result, which the result replaces; names that
-start with ``__`` are reserved.
+start with ``__`` are reserved. A text of 2^28 words or more is an error, as a position has 28 bits.
 
 Everything is DataFrame code: hashes of three-word windows are packed with their position in a long and sorted as a
 primitive array, so neighbours that agree are repeats. Two packings with different bits of the hash must agree.
@@ -55,7 +55,7 @@ def with_base_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: in
     )
     df = df.withColumns(
         {
-            "n_words": F.size("__words").cast("long"),
+            "n_words": F.when(F.size("__words") > INDEX_MASK, F.raise_error(F.lit(f"a text of {INDEX_MASK + 1} words or more")).cast("long")).otherwise(F.size("__words").cast("long")),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "__tri": F.when(
                 F.size("__words") >= 3,

@@ -309,3 +309,32 @@ def test_minimum_cut():
 
         best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
         assert cost(html_extraction.minimum_cut(gain, edges)) == pytest.approx(best)
+
+
+def test_rules_against_sql(spark, monkeypatch):
+    """The query's SQL has the operator's limits: hosts of 20 to 200 documents, whose lines lie on both sides of the floor and of the share."""
+    import duckdb
+
+    from colophon.llm.oracles import ORACLES
+
+    rng = random.Random(12)
+    rows, i = [], 0
+    for host, n in (("a", 20), ("b", 40), (None, 79), ("c", 81), ("d", 200)):
+        lines = [" ".join(f"{host}{k}said{m}" for m in range(60)) for k in range(12)]
+        for _ in range(n):
+            own = " ".join(f"w{i}x{k}" for k in range(rng.choice([20, 60, 90])))
+            rows.append((i, "\n".join([own, *[x for k, x in enumerate(lines) if rng.random() < k / 80]]), host))
+            i += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = quality_rules.quality_rules(docs)
+    con = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841  read by the SQL
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({ORACLES['op10_quality_rules']})").fetchall()
+    assert sorted(tuple(r) for r in out.select(*names).collect()) == sorted(want)
+    assert len({r.kept for r in out.filter("NOT base_failed").collect()}) == 2
+    # frequent lines were removed in a host of 79, of under 80 documents, too
+    assert out.filter("source IS NULL AND kept_words < n_words").count() > 0
+    monkeypatch.setattr(quality_rules, "INDEX_MASK", 63)
+    with pytest.raises(Exception, match="words or more"):
+        quality_rules.with_base_rules(docs).collect()
