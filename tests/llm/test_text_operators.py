@@ -338,3 +338,35 @@ def test_rules_against_sql(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "INDEX_MASK", 63)
     with pytest.raises(Exception, match="words or more"):
         quality_rules.with_base_rules(docs).collect()
+
+
+def plain_score(net, text):
+    """The network's score of one text by plain loops: windows of 8 bytes, 4 apart, over the padded text; each half of a chunk, and the one after it, give a maximum."""
+    halves = max(1, -(-(len(text) + 4) // 256))
+    data = text + bytes(halves * 256 + 8 - len(text))
+    maxima = []
+    for h in range(halves):
+        best = np.zeros(quality_classifier.FILTERS)
+        for at in range(h * 256, h * 256 + 256, 4):
+            z = net.bias.astype(float).copy()
+            for k in range(8):
+                for e in range(quality_classifier.EMBED):
+                    z += net.embed[data[at + k], e] * net.weight[k * quality_classifier.EMBED + e]
+            best = np.maximum(best, z)
+        maxima.append(best)
+    chunks = [np.maximum(a, b) for a, b in zip(maxima, maxima[1:] + maxima[-1:])]
+    f = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)])
+    return 1 / (1 + np.exp(-(f @ net.out + net.out_bias)))
+
+
+def test_network_by_plain_loops():
+    rng = np.random.default_rng(3)
+    shape = quality_classifier
+    net = shape.Network(*(rng.normal(0, s, n).astype(np.float32) for s, n in ((0.5, (256, shape.EMBED)), (0.1, (8 * shape.EMBED, shape.FILTERS)), (0.1, shape.FILTERS), (0.3, 2 * shape.FILTERS))), 0.2)
+    texts = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 4, 7, 8, 251, 252, 253, 255, 256, 257, 508, 509, 512, 700, 1300)]
+    want = [plain_score(net, t) for t in texts]
+    for most in (1 << 19, 600, 256):
+        assert np.allclose(shape.predict(net, texts, most=most), want, atol=1e-5), most
+    # repeated rows and their order change nothing
+    twice = shape.predict(net, texts[::-1] + texts)
+    assert np.allclose(twice, want[::-1] + want, atol=1e-5)
