@@ -53,13 +53,20 @@ def judge(lines: DataFrame, fields: str, rules: tuple = (), column: str = "value
     return rows.select(F.when(cause.isNull(), F.col("record")).alias("record"), "doc", cause)
 
 
+def _kept(judged: DataFrame, reject: bool) -> DataFrame:
+    """Rejects, or the others; of what was written one folder alone is read."""
+    if "is_reject" in judged.columns:
+        return judged.filter(F.col("is_reject") == F.lit(reject))
+    return judged.filter(F.col("cause").isNotNull() if reject else F.col("cause").isNull())
+
+
 def good(judged: DataFrame) -> DataFrame:
     """The fields of good rows, and doc."""
-    return judged.filter("cause IS NULL").select("record.*", "doc")
+    return _kept(judged, False).select("record.*", "doc")
 
 
 def rejected(judged: DataFrame) -> DataFrame:
-    return judged.filter("cause IS NOT NULL").select("cause", "doc")
+    return _kept(judged, True).select("cause", "doc")
 
 
 def write_judged(judged: DataFrame, path: str, most_share: float = 1.0, least: int = 0) -> tuple[int, int]:
@@ -74,11 +81,9 @@ def write_judged(judged: DataFrame, path: str, most_share: float = 1.0, least: i
 
 
 def read_judged(spark: SparkSession, path: str, fields: str) -> DataFrame:
-    """What write_judged wrote; filters on cause by good() and rejected() read one folder alone."""
+    """What write_judged wrote: record, doc, cause, and is_reject, by which it is in two folders."""
     schema = StructType().add("record", struct_type(fields)).add("doc", "string").add("cause", "string").add("is_reject", "boolean")
-    rows = spark.read.schema(schema).parquet(path)
-    # says what the folders mean, so that a filter on one skips the other
-    return rows.select("record", "doc", F.when(F.col("is_reject"), F.col("cause")).alias("cause"))
+    return spark.read.schema(schema).parquet(path)
 
 
 def write_judged_stream(judged: DataFrame, path: str, checkpoint: str, most_share: float = 1.0, least: int = 0):

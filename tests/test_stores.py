@@ -174,6 +174,7 @@ def test_rejects(spark, tmp_path):
     back = rejects.read_judged(spark, path, FIELDS)
     assert judged_rows(back) == want
     assert [(r.ident, r.title, r.year, r.doc) for r in rejects.good(back).collect()] == [("1", "t", 3, LINES[0])]
+    assert "PartitionFilters: [isnotnull(is_reject" in plan_of(rejects.good(back))
     with pytest.raises(rejects.TooManyRejects) as e:
         rejects.write_judged(judged, path, most_share=0.5, least=2)
     assert (e.value.rejects, e.value.lines) == (8, 9)
