@@ -1,17 +1,24 @@
 """Main text of web pages by minimum-cut labelling of text blocks.
 
 A page is cut into blocks of text at block-level tags. A linear classifier gives each block a log-odds of being content:
-from its text, and from the tags and the words in class, id and role of the elements around it. That is the capacity from
-the source (content) or to the sink (boilerplate); all are finite. Smoothness edges join neighbouring blocks, the weaker the
-farther apart they are in the tree, and blocks of the same parent element, so an odd block follows its surroundings. The
-minimum cut of that graph labels the blocks. Only scripts, styles, fallback content and what is hidden is left out before.
+from its text, and from what the element around it is called (tag, and words in class, id and role). That is the capacity
+from the source (content) or to the sink (boilerplate); a name alone costs 2 before anything is fitted, no more than good
+prose gains. Smoothness edges join neighbouring blocks, the weaker the farther apart they are in the tree, and blocks of the
+same parent element, so an odd block follows its surroundings. An element that is called an article is a node of its own,
+with a capacity, and an edge to each of its blocks: short lines and headings, which the classifier by itself would drop, stay
+with the article. The minimum cut of that graph labels the blocks. Only scripts, styles, fallback content and what is hidden
+is left out before.
 
 What elements are called is evidence, not a verdict: where a page has no article outside of elements that are called
 boilerplate, the share of its prose that such an element holds speaks against the name (``alone``).
 
-The classifier's weights start from ``PRIOR``. They are fitted by self-training on a bounded sample of pages (``max_pages``
-pages and ``max_bytes`` bytes, in hash order): the minimum cut labels the sample's blocks, a logistic regression with a
-penalty centred on the prior learns from those labels, and so on for some rounds. Without pages the prior stands.
+Costs start from ``PRIOR`` and are fitted by co-training on a bounded sample of pages (``max_pages`` pages and ``max_bytes``
+bytes, in hash order), some rounds of two steps. The weights of the text learn from the labels of the whole graph, by a
+logistic regression on the text alone with a penalty centred on the prior. The cost of each name learns from a cut that
+knows neither names nor articles: from the share of the name's text, page by page, that this leaves with the content, with
+``strength`` pages of the prior, within ``NAME_RANGE``: prose can't tell a reader's comment from an article, so it takes
+nothing from the cost of a name. The penalty is high, as a classifier that learns all that the cut says leaves it nothing to
+say on pages of another kind. Without pages the prior stands.
 
 Defined cases: null html is empty and has an empty text; broken markup never fails (unclosed tags end with the page, a tag
 cut off by its end is dropped), and takes time in proportion to the page; white space is what str.split() takes for it;
@@ -62,33 +69,41 @@ TOKEN = re.compile(
 ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))|(\bhidden\b)""")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-FEATURES = ("bias", "length", "links", "sentence", "paragraph", "heading", "item", "cell", "short", "upper", "off_tag", "off_name", "on_tag", "on_name", "outer_off", "alone")
-#: Log-odds of content where nothing has been fitted.
-PRIOR = np.array([-0.5, 0.45, -5.0, 0.8, 0.8, 0.8, -0.1, -0.2, -0.3, -0.3, -6.0, -6.0, 1.2, 0.8, -6.0, 7.0])
+TEXT = ("bias", "length", "links", "sentence", "paragraph", "heading", "item", "cell", "short", "upper")
+#: What an element is called, by word: the tags and names of boilerplate.
+CALLED = tuple(sorted(OFF | NOT_TEXT | {"header"}))
+FEATURES = (*TEXT, "outer_off", "alone", *CALLED)
+COLUMN = {c: len(TEXT) + 2 + i for i, c in enumerate(CALLED)}
+#: Log-odds of content where nothing has been fitted, and between what the cost of a name may be fitted.
+PRIOR = np.array([-0.9, 0.45, -5.0, 0.8, 0.8, 0.8, 0.0, -0.2, -0.3, -0.3, -2.0, 2.0, *[-2.0] * len(CALLED)])
+NAME_RANGE = (-4.0, -2.0)
+#: Capacity of an element that is an article by its tag or its name, and of the edge between it and each of its blocks.
+HOME_TAG, HOME_NAME, TIE = 2.0, 1.5, 1.0
 #: Smoothness: of blocks of one element that follow each other (divided by one more than the steps between their elements
 #: in the tree, where they are others), and of blocks of one parent. Only a part of it where an element begins or ends that
 #: is called boilerplate.
-ADJACENT, SIBLING, BORDER = 1.6, 0.5, 0.25
+ADJACENT, SIBLING, BORDER = 2.4, 0.5, 0.25
 #: The nearest element around a block that says what it is.
 OFF_TAG, OFF_NAME, NOTHING, ON_NAME, ON_TAG = -2, -1, 0, 1, 2
 
 
 class Block:
-    __slots__ = ("element", "kind", "link", "outer", "parent", "region", "tag", "text")
+    __slots__ = ("called", "element", "home", "kind", "link", "outer", "parent", "region", "tag", "text")
 
-    def __init__(self, text: str, link: int, tag: str = "", element: int = 0, parent: int = 0, kind: int = NOTHING, outer: bool = False, region: int = -1):
-        self.text, self.link, self.tag, self.element, self.parent, self.kind, self.outer, self.region = text, link, tag, element, parent, kind, outer, region
+    def __init__(self, text: str, link: int, tag: str = "", element: int = 0, parent: int = 0, kind: int = NOTHING, outer: bool = False, region: int = -1, home: int = -1, called: tuple[str, ...] = ()):
+        self.text, self.link, self.tag, self.element, self.parent, self.kind, self.outer, self.region, self.home, self.called = text, link, tag, element, parent, kind, outer, region, home, called
 
 
 class Open:
     """An open element: its name, what is known of the text in it, and its nearest block-level element (number, tag, the number of that one's parent)."""
 
-    __slots__ = ("element", "hidden", "kind", "name", "outer", "parent", "region", "tag")
+    __slots__ = ("called", "element", "hidden", "home", "kind", "name", "outer", "parent", "region", "tag")
 
     def __init__(self, name: str, above: Open | None):
         self.name = name
         self.element, self.tag, self.parent = (above.element, above.tag, above.parent) if above else (0, "", 0)
         self.kind, self.outer, self.region, self.hidden = (above.kind, above.outer, above.region, above.hidden) if above else (NOTHING, False, -1, False)
+        self.home, self.called = (above.home, above.called) if above else (-1, ())
 
 
 def _names(attrs: str) -> tuple[set[str], bool]:
@@ -115,15 +130,16 @@ def _judge(at: Open, attrs: str, in_article: bool, number: int) -> None:
     name = at.name
     words, hidden = _names(attrs) if attrs and name not in ("a", "html", "body") else (set(), False)
     at.hidden |= hidden
-    if words & (NO_ARTICLE if name in ARTICLE else OFF) and name not in NEVER:
-        at.kind, at.region = OFF_NAME, number
+    off = words & (NO_ARTICLE if name in ARTICLE else OFF)
+    if off and name not in NEVER:
+        at.kind, at.region, at.called = OFF_NAME, number, tuple(sorted(off))
     elif name in NOT_TEXT or name == "header" and not in_article:
-        at.kind, at.region = OFF_TAG, -1 if name in NEVER else number
+        at.kind, at.region, at.called = OFF_TAG, -1 if name in NEVER else number, (name,)
     elif name in ARTICLE:
         at.outer |= at.kind < 0
-        at.kind = ON_TAG
+        at.kind, at.home, at.called = ON_TAG, number, ()
     elif words & ON and at.kind == NOTHING:
-        at.kind = ON_NAME
+        at.kind, at.home = ON_NAME, number
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[int]]:
@@ -141,7 +157,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
             e = stack[-1]
             text = "" if e.hidden else " ".join(html_lib.unescape("".join(buffer)).split())
             if text:
-                out.append(Block(text, links, e.tag, e.element, e.parent, e.kind, e.outer, e.region))
+                out.append(Block(text, links, e.tag, e.element, e.parent, e.kind, e.outer, e.region, e.home, e.called))
             buffer.clear()
         links = 0
 
@@ -211,11 +227,14 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
 def features(block: Block, alone: float = 0.0) -> list[float]:
     n = len(block.text)
     letters = sum(map(str.isupper, block.text))
-    return [
+    out = [
         1.0, min(np.log1p(n), 7.0) - 3.0, min(1.0, block.link / n), float(block.text[-1] in ".!?…。\"'”»:"), float(block.tag in ("p", "blockquote", "pre")),
         float(block.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(block.tag in ("li", "dt", "dd")), float(block.tag in ("td", "th", "caption")), float(n < 20), float(letters > 0.6 * n),
-        float(block.kind == OFF_TAG), float(block.kind == OFF_NAME), float(block.kind == ON_TAG), float(block.kind == ON_NAME), float(block.outer), alone,
+        float(block.outer), alone, *[0.0] * len(CALLED),
     ]
+    for c in block.called:  # several words share one cost
+        out[COLUMN[c]] = 1 / len(block.called)
+    return out
 
 
 def page_features(blocks: list[Block]) -> np.ndarray:
@@ -250,6 +269,19 @@ def edges_of(blocks: list[Block], parents: list[int]) -> list[tuple[int, int, fl
     return edges
 
 
+def homes_of(blocks: list[Block]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """The elements that are called articles, as nodes behind those of the blocks: their gains, and edges to their blocks."""
+    number: dict[int, int] = {}
+    gains, edges = [], []
+    for i, b in enumerate(blocks):
+        if b.kind > 0:
+            if b.home not in number:
+                number[b.home] = len(blocks) + len(gains)
+                gains.append(HOME_TAG if b.kind == ON_TAG else HOME_NAME)
+            edges.append((i, number[b.home], TIE))
+    return gains, edges
+
+
 def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels (true: content) of least cost: -gain where a node with gain > 0 is off or one below 0 is on, plus cut edges.
 
@@ -330,13 +362,18 @@ def _flow(gain: list[float], near: list[dict[int, float]]) -> list[bool]:
                 path.pop()
 
 
+def _labels(blocks: list[Block], gain: np.ndarray, edges: list[tuple[int, int, float]]) -> list[bool]:
+    gains, ties = homes_of(blocks)
+    return minimum_cut(gain.tolist() + gains, edges + ties)[: len(blocks)]
+
+
 def label(page: str | None, weights: np.ndarray) -> tuple[list[Block], np.ndarray, list[bool]]:
     """A page's blocks, their features, and which of them the minimum cut leaves with the content."""
     blocks, parents = blocks_of(page or "")
     if not blocks:
         return [], np.zeros((0, len(FEATURES))), []
     x = page_features(blocks)
-    return blocks, x, minimum_cut((x @ weights).tolist(), edges_of(blocks, parents))
+    return blocks, x, _labels(blocks, x @ weights, edges_of(blocks, parents))
 
 
 def extract(page: str | None, weights: np.ndarray) -> str:
@@ -344,12 +381,13 @@ def extract(page: str | None, weights: np.ndarray) -> str:
     return " ".join(b.text for b, keep in zip(blocks, on) if keep)
 
 
-def _fitted(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
-    """Logistic regression with a penalty on what differs from PRIOR, by Newton steps."""
-    w = PRIOR.copy()
+def _fitted_text(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
+    """Weights of the text: a logistic regression with a penalty on what differs from PRIOR, by Newton steps."""
+    centre = PRIOR[: len(TEXT)]
+    x, w = x[:, : len(TEXT)], centre.copy()
     for _ in range(20):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) * (1000 / len(y)) + penalty * (w - PRIOR)
+        grad = x.T @ (p - y) * (1000 / len(y)) + penalty * (w - centre)
         hess = (x * (p * (1 - p))[:, None]).T @ x * (1000 / len(y)) + penalty * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w = w - step
@@ -358,8 +396,22 @@ def _fitted(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
     return w
 
 
-def fit_weights(pages: DataFrame, max_pages: int = 400, max_bytes: int = 1 << 23, penalty: float = 200.0, rounds: int = 3) -> np.ndarray:
-    """PRIOR, fitted by self-training on a sample of at most ``max_pages`` pages and ``max_bytes`` bytes."""
+def _fitted_names(pages: list[tuple[list[Block], np.ndarray, list]], weights: np.ndarray, strength: float) -> np.ndarray:
+    """Costs of the names, from cuts by the text alone: a page's share of a name's text that stays is the page's vote."""
+    votes = np.zeros((2, len(CALLED)))
+    for blocks, x, edges in pages:
+        on = minimum_cut((x[:, : len(TEXT)] @ weights[: len(TEXT)]).tolist(), edges)
+        size = np.array([len(b.text) for b in blocks])[:, None] * x[:, len(TEXT) + 2 :]
+        total = size.sum(0)
+        share = size[np.array(on, bool)].sum(0) / np.maximum(total, 1e-9)
+        votes += np.where(total > 0, [share, 1 - share], 0.0)
+    centre = PRIOR[len(TEXT) + 2 :]
+    prior = strength / (1 + np.exp(-centre))
+    return np.clip(np.log((votes[0] + prior) / (votes[1] + strength - prior)), *NAME_RANGE)
+
+
+def fit_weights(pages: DataFrame, max_pages: int = 400, max_bytes: int = 1 << 23, penalty: float = 6000.0, strength: float = 20.0, rounds: int = 3) -> np.ndarray:
+    """PRIOR, fitted by co-training on a sample of at most ``max_pages`` pages and ``max_bytes`` bytes."""
     hashed = pages.select("html", F.xxhash64("html").alias("h"), F.octet_length("html").alias("n")).filter("n > 0")
     # the least hashes first, as many as fit; then their pages: what tasks send does not grow with their number
     least = hashed.select("h", "n").groupBy("h").agg(F.max("n").alias("n")).orderBy("h").limit(max_pages)
@@ -373,11 +425,12 @@ def fit_weights(pages: DataFrame, max_pages: int = 400, max_bytes: int = 1 << 23
     if last is None:
         return w
     some = [r.html for r in hashed.filter(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()]
-    for _ in range(rounds):
-        found = [label(h, w) for h in some]
-        x, y = np.concatenate([x for _, x, _ in found]), np.concatenate([np.array(on, float) for *_, on in found])
+    found = [(blocks, page_features(blocks), edges_of(blocks, parents)) for blocks, parents in map(blocks_of, some) if blocks]
+    for _ in range(rounds if found else 0):
+        y = np.concatenate([np.array(_labels(blocks, x @ w, edges), float) for blocks, x, edges in found])
         if 0 < y.sum() < len(y):
-            w = _fitted(x, y, penalty)
+            w[: len(TEXT)] = _fitted_text(np.concatenate([x for _, x, _ in found]), y, penalty)
+        w[len(TEXT) + 2 :] = _fitted_names(found, w, strength)
     return w
 
 

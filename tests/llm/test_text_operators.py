@@ -279,8 +279,49 @@ def test_hard_pages(spark):
     assert flipped > 0  # the cut labels blocks otherwise than the classifier
 
 
+def test_html_cut_decides(spark):
+    """On pages of a known layout the classifier by itself is wrong on many, the cut of its costs on none; no name costs over 2 to begin with."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_extraction.fit_weights(pages)
+    assert np.abs(html_extraction.PRIOR[len(html_extraction.TEXT) :]).max() <= 2
+    blocks = flipped = alone = cut = 0
+    rows = pages.select("html").collect()
+    for (html,) in rows:
+        found, x, on = html_extraction.label(html, weights)
+        right = [b.kind == html_extraction.ON_TAG for b in found]
+        by_cost = (x @ weights > 0).tolist()
+        blocks, flipped = blocks + len(found), flipped + sum(c != o for c, o in zip(by_cost, on))
+        alone, cut = alone + (by_cost != right), cut + (on != right)
+    assert flipped > 0.01 * blocks and alone > 0.01 * len(rows) and cut == 0
+
+
+def test_html_cut_of_whole_pages():
+    """The cut of a page's own graph, with the nodes of its articles, against all labellings."""
+    T = len(html_extraction.TEXT)
+    for html, _ in HARD_PAGES:
+        blocks, parents = html_extraction.blocks_of(html)
+        x, (gains, ties) = html_extraction.page_features(blocks), html_extraction.homes_of(blocks)
+        gain, edges = (x @ html_extraction.PRIOR).tolist() + gains, html_extraction.edges_of(blocks, parents) + ties
+        assert len(gain) <= 14 and x.shape[1] > T
+
+        def cost(on):
+            return sum(abs(g) for g, o in zip(gain, on) if (g > 0) != o) + sum(w for a, b, w in edges if on[a] != on[b])
+
+        best = min(cost([bool(m >> i & 1) for i in range(len(gain))]) for m in range(1 << len(gain)))
+        assert cost(html_extraction.minimum_cut(gain, edges)) == pytest.approx(best)
+        assert html_extraction.label(html, html_extraction.PRIOR)[2] == html_extraction.minimum_cut(gain, edges)[: len(blocks)]
+
+
+def test_html_names_learn_from_text(spark):
+    """The cost of a name that holds links rises; that of one that holds prose stays."""
+    pages = spark.createDataFrame([(f"<div class=share>{MENU}</div><div>{PROSE}<p>Page {i}</p></div><div class=comments><p>{ONE}</p></div>",) for i in range(60)], "html string")
+    weights = html_extraction.fit_weights(pages)
+    assert weights[html_extraction.COLUMN["share"]] < -3 and weights[html_extraction.COLUMN["comments"]] == weights[html_extraction.COLUMN["nav"]] == -2
+    assert html_extraction.extract(pages.first().html, weights).startswith(f"{ONE} {TWO} {THREE}")
+
+
 def test_html_takes_linear_time():
-    for odd in ("<div>" * 20000 + "</b>" * 20000, "<b>" * 20000 + "a</div>" * 20000, "<div>" * 20000 + "<td>x</td>" * 20000, "<b>" * 20000 + "<div>x</div>" * 20000):
+    for odd in ("<div>" * 20000 + "</b>" * 20000, "<b>" * 20000 + "a</div>" * 20000, "<div>" * 20000 + "<td>x</td>" * 20000, "<b>" * 20000 + "<div>x</div>" * 20000, "<article>" + "<p>Some words stand here, and they are read.</p><p>No</p>" * 8000):
         start = time.process_time()
         html_extraction.extract(odd, html_extraction.PRIOR)
         assert time.process_time() - start < 8
