@@ -189,13 +189,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 1000, max_bytes
     for y in (0, 1):
         part = pool.filter(F.col("__y") == y).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_per_class)
         some = part if some is None else some.unionByName(part)
-    # 2 * max_per_class ids at most: small enough to broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "__y").toPandas()
-    got = got.fillna({"text": ""}).sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    got = got.sample(frac=1, random_state=seed)
-    texts = utf8(list(got["text"]))
-    inside = np.cumsum([len(t) for t in texts]) <= max_bytes
-    return train([t for t, x in zip(texts, inside) if x], got["__y"].to_numpy()[inside], seed=seed)
+    # 2 * max_per_class ids at most: small enough to broadcast. Sizes come first; then the texts that fit, one of each id
+    def least(ids: DataFrame) -> DataFrame:
+        return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("__y").alias("__y"))
+
+    sizes = least(some).select("doc_id", "__y", F.octet_length("text").alias("n")).toPandas()
+    sizes = sizes.sort_values("doc_id").sample(frac=1, random_state=seed)
+    sizes = sizes[sizes["n"].cumsum() <= max_bytes]
+    ids = sizes["doc_id"].tolist()
+    chosen = some.filter(F.col("doc_id").isin(ids))
+    text = {r.doc_id: r.text for r in least(chosen).select("doc_id", "text").collect()}  # max_bytes at most
+    return train(utf8([text[i] for i in ids]), sizes["__y"].to_numpy(), seed=seed)
 
 
 def score_quality(docs: DataFrame, net: Network | float) -> DataFrame:

@@ -229,6 +229,22 @@ def test_classifier(spark):
     assert quality_classifier.score_quality(docs.limit(0), 0.5).count() == 0
 
 
+def test_classifier_trains_on_bounded_texts(spark, monkeypatch):
+    """Rows of one id count once, by their least text; texts that don't fit aren't fetched; null is empty."""
+    got = {}
+    monkeypatch.setattr(quality_classifier, "train", lambda texts, y, seed: got.update(texts=texts, y=y.tolist()))
+    docs = spark.createDataFrame([(i, "b%d" % i) for i in range(40)] + [(i, "a%d" % i) for i in range(20)] + [(7, "a7"), (50, None), (51, "x" * 5000), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 1), (None, 1), (4, None)], "doc_id long, quality int")
+    held = {i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 0}
+    want = {(("a%d" if i < 20 else "b%d") % i, i % 2) for i in set(range(40)) - held} | {t for i, t in ((50, ("", 0)), (51, ("x" * 5000, 1))) if i not in held}
+    quality_classifier.fit(docs, labels)
+    assert sorted(zip((t.decode() for t in got["texts"]), got["y"])) == sorted(want)
+    quality_classifier.fit(docs, labels, max_bytes=60)
+    assert 0 < sum(map(len, got["texts"])) <= 60 and set(zip((t.decode() for t in got["texts"]), got["y"])) <= want
+    quality_classifier.fit(docs.limit(0), labels)
+    assert got["texts"] == []
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav>
 <div class="cookie-notice">We use cookies.</div><div id=wrap><h1>The headline &amp; all</h1><p>A long paragraph about the thing, which goes
 on and<br>on.<p>Second <b>bo</b>ld one&nbsp;here.<ul><li>First point of it.</ul><form><label>Mail</label></form><script>var x="</p>";</script>
