@@ -278,6 +278,7 @@ def _linked(docs: DataFrame, size: int, percent: int, keep_text: bool) -> DataFr
     between = index.join(hubs, "__gram").filter("__head <> hub").filter(_may_link(percent, "", "h")).select(F.col("hub").alias("a"), F.col("__head").alias("b"))
     between = between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = cut(_verified(inside.union(between).distinct(), sets, percent))
+    release(docs.sparkSession)  # the sets were shuffled for both sides of the pairs
     roots = components(links)
     # what may still join two components
     named = grouped.join(roots, F.col("__sig") == F.col("node"), "left").select(F.col("__sig").alias("x"), "__n", "__r", F.coalesce("root", "__sig").alias("__root"), F.explode("__prefix").alias("__gram"))
@@ -286,6 +287,7 @@ def _linked(docs: DataFrame, size: int, percent: int, keep_text: bool) -> DataFr
     entries = cut(named.join(mixed.join(hubs, "__gram").select("__gram", "hub"), "__gram").select("hub", "x", "__n", "__r", "__root").distinct())
     if not entries.isEmpty():
         entries = cut(entries.join(_against_hubs(entries.select("hub", "x"), sets, percent), ["hub", "x"]))
+        release(docs.sparkSession)
         certain, met = _still_open(entries, percent)
         more = cut(certain.union(_verified(met, sets, percent)))
         if not more.isEmpty():
@@ -312,5 +314,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that come first in their component, with all columns; texts without words all stay."""
+    release(docs.sparkSession)  # what the caller's earlier work left, before texts are shuffled
     out = _linked(docs, size, percent, True)
     return out.filter(F.col("__component").eqNullSafe(F.col("doc_id"))).select(*docs.columns)
