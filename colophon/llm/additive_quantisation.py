@@ -1,14 +1,16 @@
-"""Approximate nearest neighbours by additive quantisation.
+"""Nearest neighbours by additive quantisation, with bounds that make the result exact.
 
 Vectors are scaled to length one and encoded as a sum of one word from each of several full-dimensional codebooks, by beam
-search; the norm of each sum is stored. The codebooks are trained on a bounded sample (``max_train`` vectors in hash order):
-residual k-means first, then rounds of beam encoding and least squares. A query makes a table of inner products with all
-words; the score of a code is the sum of its entries over the stored norm. The best ``rerank`` codes of each query are
-scored again exactly, in double precision, on the original vectors.
+search. The codebooks are trained on a bounded sample (``max_train`` vectors in hash order): residual k-means first, then
+rounds of beam encoding and least squares. A query makes a table of inner products with all words; the cosine with a code is
+the sum of its entries over the norm of the code, which is stored. So is the angle between the code and its vector: no vector
+is nearer to the query than the angle to its code less that one. The best ``rerank`` codes of each query are scored again
+exactly, in double precision, on the original vectors, and then all whose bound reaches the best k found so far. Where codes
+tell little, as with near copies by the thousand or directions without structure, that is many; but none is missed.
 
 Equal vectors are indexed once. An index row keeps the k + 1 smallest ids of its vector, which is all that the k nearest of
-any query can need, ties going to the smaller id. Queries and codes meet in blocks; what each block pair hands on is the
-best ``rerank`` of every query, and nothing is broadcast but the codebooks.
+any query can need, ties going to the smaller id. The index is dealt to blocks, the queries to bundles; each bundle meets
+each block, and a meeting hands on the best k + 1 vectors of each query. Nothing is broadcast but the codebooks.
 
 Defined cases: vectors that are null, zero, or hold a null or non-finite component take no part, neither as queries nor as
 candidates, nor do those whose length isn't the most frequent one (ties: the greater) or whose id is null; rows equal in id
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shuffle_partitions
 
 
 @dataclass
@@ -69,10 +71,6 @@ def encode(x: np.ndarray, books: Codebooks, beam: int = 4, batch: int = 512) ->
     return out
 
 
-def decode(codes: np.ndarray, books: Codebooks) -> np.ndarray:
-    return sum(books.words[j][codes[:, j]] for j in range(codes.shape[1]))
-
-
 def train(x: np.ndarray, n_books: int = 16, n_words: int = 256, rounds: int = 2, beam: int = 4, seed: int = 3) -> Codebooks:
     rng = np.random.default_rng(seed)
     n_words = int(max(1, min(n_words, 256, len(x) // 2)))
@@ -155,92 +153,115 @@ def _matrix(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(keys), "<f8").reshape(len(keys), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that squares neither overflow nor vanish; cosines stay the same to the last bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)
-    return (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
+    x = _scaled(x)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _facts(x: np.ndarray, codes: np.ndarray, books: Codebooks) -> np.ndarray:
+    """(rows, 3) float32: the norm of each code, its cosine with its vector (unit, double), and by how much single precision may err in cosines with it."""
+    words = books.words.astype(np.float64)
+    y = sum(words[j][codes[:, j]] for j in range(codes.shape[1]))
+    norm = np.sqrt((y * y).sum(1))
+    long = np.sqrt((words * words).sum(2))
+    total = sum(long[j][codes[:, j]] for j in range(codes.shape[1]))
+    flat = norm <= 1e-6 * total  # a sum that all but vanishes has no direction: nothing is known
+    safe = np.where(flat, 1, norm)
+    return np.stack([safe, np.where(flat, 0, (x * y).sum(1) / safe), np.where(flat, 4, 1e-6 + 2e-6 * total / safe)], 1).astype(np.float32)
+
+
+def _best(keys: np.ndarray, ids: np.ndarray, codes: np.ndarray, facts: np.ndarray, queries: np.ndarray, books: Codebooks, most: int, rerank: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the places and the cosines of the ``most`` nearest vectors, ties going to the smaller of ``ids``."""
+    x, q = _unit(keys), _unit(queries)
+    at = codes.astype(np.int64) + np.arange(codes.shape[1]) * books.words.shape[1]
+    norm, cosine, slack = np.ascontiguousarray(facts.T)
+    cosine = cosine - slack
+    sine = np.sqrt(np.maximum(1 - cosine.astype(np.float64) ** 2, 0)).astype(np.float32)
+    top, most = min(rerank, len(x)), min(most, len(x))
+    squares = None
+    out = []
+    for one in range(len(q)):
+        if one % 256 == 0:
+            tables = (q[one : one + 256] @ books.flat.T.astype(np.float64)).astype(np.float32)
+        t = tables[one % 256]
+        s = t[at[:, 0]]
+        for j in range(1, at.shape[1]):
+            s += t[at[:, j]]
+        s /= norm
+        near = np.argpartition(-s, top - 1)[:top]
+        found = x[near] @ q[one]
+        if top < len(x) and top >= most:
+            s += slack
+            bound = np.where(s >= cosine, 1, s * cosine + np.sqrt(np.maximum(1 - s * s, 0)) * sine)
+            near = np.flatnonzero(bound >= np.partition(found, top - most)[top - most] - 1e-5)
+            found = x[near] @ q[one] if 4 * len(near) < len(x) else (x @ q[one])[near]
+        elif top < len(x):
+            near, found = np.arange(len(x)), x @ q[one]
+        near = near[found >= np.partition(found, len(found) - most)[len(found) - most] - 1e-12]
+        if squares is None:
+            raw, squares = _scaled(keys), np.sqrt((_scaled(keys) ** 2).sum(1))
+            asked = _scaled(queries)
+        exact = (raw[near] * asked[one]).sum(1) / (squares[near] * np.sqrt((asked[one] ** 2).sum()))
+        order = np.lexsort((ids[near], -exact))[:most]
+        out.append((near[order], exact[order]))
+    return out
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 256, n_books: int = 16, max_train: int = 8192, block: int = 65_536, query_block: int = 256) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each row whose id ``every`` divides, its k nearest other rows by cosine."""
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 256, n_books: int = 16, max_train: int = 8192, block: int = 1 << 24) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: for each row whose id ``every`` divides, its k nearest other rows by cosine.
+
+    ``block``: bytes of the vectors of a block, and of a bundle of queries.
+    """
     rows = usable(vectors)
     index = cut(_distinct(rows, k + 1).select(F.sha2("key", 256).alias("v"), "key", "ids"))
+    spark = index.sparkSession
     last = index.select("v").orderBy("v").limit(max_train).agg(F.max("v")).first()[0]
     sample = index.select("v", "key").filter(F.col("v") <= F.lit(last)).orderBy("v").collect()  # max_train rows at most
-    empty = "query_id long, rank int, vec_id long, score double"
-    if len(sample) < 2:
-        return index.sparkSession.createDataFrame([], empty) if not sample else _finish(_self_pairs(index), rows, every, k)
-    books = index.sparkSession.sparkContext.broadcast(train(_unit(_matrix([r.key for r in sample])), n_books))
+    if not sample:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    books = spark.sparkContext.broadcast(train(_unit(_matrix([r.key for r in sample])).astype(np.float32), n_books))
 
     def coded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for a in range(0, batch.num_rows, 2048):
                 piece = batch.slice(a, 2048)
-                codes = encode(_unit(_matrix(piece.column("key").to_pylist())), books.value)
-                norms = np.sqrt((decode(codes, books.value) ** 2).sum(1)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([piece.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], ["v", "code", "norm"])
-
-    def code_blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def out():
-            t = pa.Table.from_batches(held)
-            held.clear()
-            cols = [pa.array([t.column("v").to_pylist()], pa.list_(pa.string())), pa.array([b"".join(t.column("code").to_pylist())], pa.binary()), pa.array([t.column("norm").to_numpy().astype("<f4").tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["vs", "codes", "norms"])
-
-        for batch in parts:
-            held.append(batch)
-            if sum(x.num_rows for x in held) >= block:
-                yield out()
-        if held:
-            yield out()
+                x = _unit(_matrix(piece.column("key").to_pylist()))
+                codes = encode(x.astype(np.float32), books.value)
+                facts = _facts(x, codes, books.value)
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([f.tobytes() for f in facts], pa.binary())], [*piece.schema.names, "code", "facts"])
 
-    def query_blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for a in range(0, batch.num_rows, query_block):
-                piece = batch.slice(a, query_block)
-                cols = [pa.array([piece.column(n).to_pylist()], pa.list_(t)) for n, t in (("v", pa.string()), ("key", pa.binary()))]
-                yield pa.RecordBatch.from_arrays(cols, ["qs", "keys"])
-
-    n_codes = index.count()
-    parts = max(1, -(-n_codes // block))
-    codes = index.select("v", "key").mapInArrow(coded, "v string, code binary, norm float")
-    codes = codes.repartition(parts, "v").sortWithinPartitions("v").mapInArrow(code_blocks, "vs array<string>, codes binary, norms binary")
     asked = rows.filter(F.col("id") % every == 0)
     # each query vector once, found by its place in the index
     queries = cut(index.select("v", "key").join(_keys(asked).select("v").distinct(), "v", "left_semi"))
-    n_queries = queries.count()
-    groups = max(1, -(-n_queries // query_block))
-    q = cut(queries.repartition(groups, "v").sortWithinPartitions("v").mapInArrow(query_blocks, "qs array<string>, keys array<binary>").withColumn("g", F.monotonically_increasing_id()))
-    ids = F.array(*[F.lit(r.g) for r in q.select("g").orderBy("g").collect()])  # a number per block of queries
-    met = codes.withColumn("g", F.explode(ids)).join(q, "g")
-
-    def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = books.value.flat
-        m, n_words = books.value.words.shape[:2]
-        for batch in parts:
-            for row in batch.to_pylist():
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, m).astype(np.int64) + np.arange(m) * n_words
-                norms = np.maximum(np.frombuffer(row["norms"], "<f4"), 1e-9)
-                lut = _unit(_matrix(row["keys"])) @ words.T
-                top = min(rerank, len(codes))
-                qs, vs, scores = [], [], []
-                for name, t in zip(row["qs"], lut):
-                    s = t[codes[:, 0]]
-                    for j in range(1, m):
-                        s = s + t[codes[:, j]]
-                    s = s / norms
-                    best = np.argpartition(-s, top - 1)[:top]
-                    qs.extend([name] * top)
-                    vs.extend(row["vs"][i] for i in best)
-                    scores.append(s[best])
-                yield pa.RecordBatch.from_arrays([pa.array(qs), pa.array(vs), pa.array(np.concatenate(scores).astype(np.float32))], ["q", "v", "near"])
-
-    near = met.mapInArrow(score, "q string, v string, near float")
-    order = Window.partitionBy("q").orderBy(F.desc("near"), "v")
-    best = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rerank).select("q", "v")
-    left = index.select(F.col("v").alias("q"), F.col("key").alias("q_key"))
-    return _finish(best.join(left, "q").join(index, "v"), rows, every, k)
+    n_codes, n_queries, most = index.count(), queries.count(), max(1, block // len(sample[0].key))
+    # small tables make smaller blocks, for parallel work; queries travel to blocks, as they are fewer
+    blocks = max(1, -(-n_codes // min(most, max(4096, -(-n_codes // shuffle_partitions(spark))))))
+    bundles = max(1, -(-n_queries // most))
+    deal = lambda n: F.pmod(F.xxhash64("v"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    codes = index.mapInArrow(coded, "v string, key binary, ids array<long>, code binary, facts binary")
+    codes = codes.select("key", "ids", "code", "facts", deal(blocks).alias("b")).withColumn("u", each(bundles)).repartition(blocks * bundles, "b", "u")
+    met = queries.select(F.col("v").alias("q"), "key", deal(bundles).alias("u")).withColumn("b", each(blocks)).repartition(blocks * bundles, "b", "u")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        lists, qs, found = left.column("ids").combine_chunks(), [], []
+        if left.num_rows and right.num_rows:
+            keys, asked = (_matrix(t.column("key").to_pylist()) for t in (left, right))
+            codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(left.num_rows, -1)
+            facts = np.frombuffer(b"".join(left.column("facts").to_pylist()), "<f4").reshape(left.num_rows, -1)
+            found = _best(keys, np.array([i[0].as_py() for i in lists]), codes, facts, asked, books.value, k + 1, rerank)
+            qs = [name for name, (at, _) in zip(right.column("q").to_pylist(), found) for _ in at]
+        at = np.concatenate([a for a, _ in found] or [np.zeros(0, np.int64)])
+        scores = np.concatenate([s for _, s in found] or [np.zeros(0)])
+        return pa.table([pa.array(qs, pa.string()), pa.array(scores, pa.float64()), lists.take(pa.array(at))], ["q", "score", "ids"])
+
+    scored = codes.groupBy("b", "u").cogroup(met.groupBy("b", "u")).applyInArrow(score, "q string, score double, ids array<long>")
+    return _finish(scored, rows, every, k)
 
 
 def _keys(rows: DataFrame) -> DataFrame:
@@ -257,21 +278,8 @@ def _keys(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(named, "id long, v string")
 
 
-def _self_pairs(index: DataFrame) -> DataFrame:
-    return index.select(F.col("v").alias("q"), F.col("key").alias("q_key"), "v", "key", "ids")
-
-
-def _finish(pairs: DataFrame, rows: DataFrame, every: int, k: int) -> DataFrame:
-    """Exact scores of (q, q_key, v, key, ids); the k + 1 best ids of each query vector; then each query without its own id."""
-
-    def exact(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            if batch.num_rows:
-                a, b = _matrix(batch.column("q_key").to_pylist()), _matrix(batch.column("key").to_pylist())
-                cos = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-                yield pa.RecordBatch.from_arrays([batch.column("q"), pa.array(cos), batch.column("ids")], ["q", "score", "ids"])
-
-    scored = pairs.select("q", "q_key", "key", "ids").mapInArrow(exact, "q string, score double, ids array<long>")
+def _finish(scored: DataFrame, rows: DataFrame, every: int, k: int) -> DataFrame:
+    """The k + 1 best ids of each query vector, of (q, score, ids); then each query without its own id."""
     each = scored.select("q", "score", F.explode("ids").alias("vec_id"))
     best = each.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
     lists = best.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found"))  # k + 1 at most

@@ -289,6 +289,24 @@ def test_nearest(spark):
     assert additive_quantisation.nearest(few.limit(0)).count() == 0
 
 
+def test_nearest_misses_none(spark):
+    """Near copies whose codes are equal, and directions without structure: all are found, in order, with few to rerank."""
+    rng = np.random.default_rng(8)
+    copies = rng.normal(size=16) + 1e-4 * rng.normal(size=(1500, 16))
+    v = np.concatenate([copies, rng.normal(size=(1500, 16))])[rng.permutation(3000)]
+    v[700] = 1e200 * v[50]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(additive_quantisation.nearest(df, rerank=32, block=50_000).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    unit = v / np.abs(v).max(1)[:, None]
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    for q in range(0, 3000, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        assert got[q] == np.lexsort((np.arange(3000), -s))[:5].tolist()
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
