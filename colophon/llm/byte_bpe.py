@@ -17,6 +17,7 @@ import base64
 import hashlib
 import struct
 from itertools import islice
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -48,16 +49,18 @@ class Encoder:
 
     Texts are cut at single spaces between other characters, where the pattern always cuts. What stands between is mostly a
     word; the ids of the words lately met are kept. ``encode_words`` gives the ids of words, each after a space;
-    ``encode_text`` those of any text.
+    ``encode_text`` those of any text. ``split`` gives of a word one that begins it and the ids of what follows, if it can be
+    cut there.
     """
 
-    def __init__(self, encode_words, encode_text, most: int = CACHE):
+    def __init__(self, encode_words, encode_text, most: int = CACHE, split=None):
         import regex
 
         self.encode_words, self.encode_text, self.most = encode_words, encode_text, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks = {m: encode_text(m) for m in ".,"}
+        self.split = split or self._mark
         self.cuts = regex.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])").split
         white = regex.compile(f"[{WHITE}]")
         self.blank = frozenset(c for c in map(chr, range(0x3001)) if white.match(c))
@@ -66,25 +69,30 @@ class Encoder:
         self.young, self.old = {}, {}
         give_back()
 
+    def _mark(self, w: str) -> tuple[str, bytes] | None:
+        """A word before a comma or a full stop is a piece, so is the mark."""
+        return (w[:-1], self.marks[w[-1]]) if w[-1] in self.marks and w[:-1].isalpha() else None
+
     def _learn(self, words: list[str]) -> None:
         """Sees to it that ``young`` knows the words, of which it knows none."""
-        young, old, marks = self.young, self.old, self.marks
-        marked, new = [], []
+        young, old, split = self.young, self.old, self.split
+        marked, bodies, rests, new = [], [], [], []
         for w in words:
             if w in old:
                 young[w] = old.pop(w)
-            elif w[-1] in marks and w[:-1].isalpha():  # a word before a comma or a full stop is a piece, so is the mark
+            elif not w.isalpha() and (cut := split(w)):
                 marked.append(w)
+                bodies.append(cut[0])
+                rests.append(cut[1])
             else:
                 new.append(w)
-        bodies = {w[:-1] for w in marked if w[:-1] not in young}.difference(new)
-        for w in bodies:
+        for w in {b for b in bodies if b not in young}.difference(new):
             if w in old:
                 young[w] = old.pop(w)
             else:
                 new.append(w)
         young.update(zip(new, self.encode_words(new)))
-        young.update((w, young[w[:-1]] + marks[w[-1]]) for w in marked)
+        young.update(zip(marked, map(add, map(young.__getitem__, bodies), rests)))
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         blank, young = self.blank, self.young

@@ -53,6 +53,10 @@ def unpack(packed: bytes, width: int, n: int, start: int = 0) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
 
 
+#: Words whose ids a worker keeps, twice, and parts of words.
+KNOWN = 400_000
+PARTS = 50_000
+
 _ENCODERS: dict = {}
 
 
@@ -60,14 +64,19 @@ class LibraryEncoder:
     """Texts to ids by the tokenizers library, as it is set up by its file.
 
     The library cuts a text by its pattern, writes each piece in its byte-level alphabet and gives it to its model. A word of
-    letters is one piece, so the words that the worker doesn't know yet go to the model as they are; other words go to
-    the library together, texts that hold the string of an added token, at which the library cuts first, as they are.
+    letters is one piece, so the words that the worker doesn't know yet go to the model as they are, some together: no token
+    holds the space that begins a word behind its own first place, or they are given to it again one by one. Marks and digits
+    after letters are other pieces, and so are one line feed and the letters after it; what so follows a word is kept
+    apart from it. Other words go to the library together, texts that hold the string of an added token, at which the library
+    cuts first, as they are.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import re
+
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -81,36 +90,72 @@ class LibraryEncoder:
         if set(map(chr, self.letters.values())) != set(pre_tokenizers.ByteLevel.alphabet()):
             raise ValueError("another byte-level alphabet")
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
-        self.four = [packed([i]) for i in range(max(vocabulary.values()) + 1)]
-        self.begins = np.zeros(len(self.four), bool)
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if t[:1] == chr(self.letters[32])]] = True
-        self.encoder = Encoder(self._words, self._text)
+        marks = r"([!-&(-@\[-`{-~]*)"  # ASCII but letters, white space and the apostrophe, which the pattern may tie to letters
+        self.shape = re.compile(rf"([^\W\d_]+){marks}(?:\n([^\W\d_]+){marks})?").fullmatch
+        self.feed = self._text("\n")
+        self.tails: dict[str, bytes] = {"": b""}
+        self.heads: dict[str, bytes] = {}
+        self.encoder = Encoder(self._words, self._text, KNOWN, self._split)
+
+    def forget(self) -> None:
+        self.tails, self.heads = {"": b""}, {}
+        self.encoder.forget()
+
+    def _tail(self, marks: str) -> bytes:
+        if (found := self.tails.get(marks)) is None:
+            if len(self.tails) >= PARTS:
+                self.tails = {"": b""}
+            found = self.tails[marks] = self._text(marks)
+        return found
+
+    def _split(self, w: str) -> tuple[str, bytes] | None:
+        found = self.shape(w)
+        if not found:
+            return None
+        body, marks, head, more = found.groups()
+        if not body.isalpha() or head and not head.isalpha():
+            return None
+        if head is None:
+            return body, self._tail(marks)
+        if (ids := self.heads.get(head)) is None:
+            if len(self.heads) >= PARTS:
+                self.heads = {}
+            ids = self.heads[head] = self._model(head)
+        return body, self._tail(marks) + self.feed + ids + self._tail(more)
+
+    def _model(self, words: str) -> bytes:
+        """Ids of words of letters, written in the library's alphabet."""
+        spelt = words.replace(" ", chr(self.letters[32])) if words.isascii() else words.encode().decode("latin-1").translate(self.letters)
+        return packed([t.id for t in self.tok.model.tokenize(spelt)])
 
     def _text(self, text: str) -> bytes:
         return packed(self.tok.encode(text, add_special_tokens=False).ids)
 
     def _words(self, words: list[str]) -> list[bytes]:
-        model, letters, four, space = self.tok.model.tokenize, self.letters, self.four, chr(self.letters[32])
-        out, others = [], []
-        for w in words:
-            if w.isalpha():
-                out.append(b"".join([four[t.id] for t in model(space + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)))]))
+        known: dict[str, bytes] = {}
+        plain = [w for w in words if w.isalpha()]
+        others = [w for w in words if not w.isalpha()] if len(plain) < len(words) else []
+        for at in range(0, len(plain), 16):
+            part = plain[at : at + 16]
+            data = self._model(" " + " ".join(part))
+            starts = (4 * np.flatnonzero(self.begins[np.frombuffer(data, "<u4")])).tolist()
+            if len(starts) == len(part):
+                known.update(zip(part, map(data.__getitem__, map(slice, starts, [*starts[1:], None]))))
             else:
-                others.append((len(out), w))
-                out.append(b"")
+                known.update((w, self._model(" " + w)) for w in part)
         for at in range(0, len(others), 256):
             part = others[at : at + 256]
             # all in one text: tokens that begin with a space begin a word
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join([w for _, w in part])], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             starts = (4 * np.flatnonzero(self.begins[ids])).tolist()
             if len(starts) == len(part):
                 data = ids.tobytes()
-                for (i, _), a, b in zip(part, starts, [*starts[1:], len(data)]):
-                    out[i] = data[a:b]
+                known.update(zip(part, map(data.__getitem__, map(slice, starts, [*starts[1:], None]))))
             else:
-                for i, w in part:
-                    out[i] = self._text(" " + w)
-        return out
+                known.update((w, self._text(" " + w)) for w in part)
+        return [known[w] for w in words]
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         whole = {i: np.frombuffer(self._text(t), "<u4") for i, t in enumerate(texts) if t and self.added(t)}
@@ -146,7 +191,7 @@ def write_token_file(docs: DataFrame, out: str, tokenizer: str, vocabulary: int,
                     bits = pa.array([pack(i, width) for i in ids], pa.binary())
                     yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), bits], ["part", "doc_id", "n", "ids"])
         finally:
-            library.encoder.forget()
+            library.forget()
 
     coded = docs.select(part.cast("int").alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "part int, doc_id long, n long, ids binary")
     ordered = coded.repartitionById(len(cuts) + 2, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "ids")

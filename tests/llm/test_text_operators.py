@@ -427,3 +427,17 @@ def test_network_by_plain_loops():
     # repeated rows and their order change nothing
     twice = shape.predict(net, texts[::-1] + texts)
     assert np.allclose(twice, want[::-1] + want, atol=1e-5)
+
+
+def test_what_follows_a_word_is_kept_apart():
+    """Words that differ in the marks, digits or line after them are asked for once, and the ids are the library's."""
+    path = P.path("byte_bpe_50k.json")
+    lib, plain = token_files.LibraryEncoder(path), Tokenizer.from_file(path)
+    asked, words = [], lib._words
+    lib.encoder.encode_words = lambda new: asked.extend(new) or words(new)
+    ends = ["", ",", "!!", "$$$", ".\nWort", "12", "\nÜber;", "-3.5%", ".\nWort."]
+    texts = ["start " + " ".join(w + e for w in ("words", "straße", "ÉTÉ") for e in ends)]
+    odd = ["it's don't' o'clock a'\nb x\n\ny x\r\ny x\n y x,\n\nZ x\t\ny ", "a²b a٣ éa ﬁn x_y x y x. Y 日本。\n語 x\n1 x\n'S x'\nS x1\n2y", None, "", " x! ", "x!\n"]
+    for t, ids in zip([*texts, *odd], lib.batch(texts + odd)):
+        assert ids.tolist() == plain.encode(t or "", add_special_tokens=False).ids
+    assert sorted(w for w in asked if w.startswith(("words", "straße", "ÉTÉ"))) == sorted(["words", "straße", "ÉTÉ"])
