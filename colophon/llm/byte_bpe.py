@@ -49,18 +49,16 @@ class Encoder:
 
     Texts are cut at single spaces between other characters, where the pattern always cuts. What stands between is mostly a
     word; the ids of the words lately met are kept. ``encode_words`` gives the ids of words, each after a space;
-    ``encode_text`` those of any text. ``split`` gives of a word one that begins it and the ids of what follows, if it can be
-    cut there.
+    ``encode_text`` those of any text.
     """
 
-    def __init__(self, encode_words, encode_text, most: int = CACHE, split=None):
+    def __init__(self, encode_words, encode_text, most: int = CACHE):
         import regex
 
         self.encode_words, self.encode_text, self.most = encode_words, encode_text, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks = {m: encode_text(m) for m in ".,"}
-        self.split = split or self._mark
         self.cuts = regex.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])").split
         white = regex.compile(f"[{WHITE}]")
         self.blank = frozenset(c for c in map(chr, range(0x3001)) if white.match(c))
@@ -75,12 +73,12 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Sees to it that ``young`` knows the words, of which it knows none."""
-        young, old, split = self.young, self.old, self.split
+        young, old = self.young, self.old
         marked, bodies, rests, new = [], [], [], []
         for w in words:
             if w in old:
                 young[w] = old.pop(w)
-            elif not w.isalpha() and (cut := split(w)):
+            elif not w.isalpha() and (cut := self._mark(w)):
                 marked.append(w)
                 bodies.append(cut[0])
                 rests.append(cut[1])

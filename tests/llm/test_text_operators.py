@@ -1,6 +1,7 @@
 """Quality rules, mixing, BPE, token files, the classifier and HTML extraction, on small tables and odd rows."""
 
 import hashlib
+import json
 import random
 import re
 import time
@@ -10,6 +11,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -441,3 +443,66 @@ def test_what_follows_a_word_is_kept_apart():
     for t, ids in zip([*texts, *odd], lib.batch(texts + odd)):
         assert ids.tolist() == plain.encode(t or "", add_special_tokens=False).ids
     assert sorted(w for w in asked if w.startswith(("words", "straße", "ÉTÉ"))) == sorted(["words", "straße", "ÉTÉ"])
+
+
+GPT2 = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def test_cuts_are_cuts_of_the_pattern():
+    """Each cut of a text begins a match in the whole text, and the matches of the pieces are those of the text."""
+    rng, n = random.Random(5), 0
+    signs = [*"  \n\t\r'.!slab09é×÷ßȿɀɐЖѿ҂²“—日", "\x85", "\u00a0", "\u1680", "\u2003", "\u3000", "'s", "'ll", "\n\n"]
+    for _ in range(300):
+        texts = ["".join(rng.choices(rng.sample(signs, rng.randint(2, 9)), k=rng.randint(1, 30))) for _ in range(20)]
+        data = [t.encode() for t in texts]
+        ends = np.cumsum([len(d) for d in data])
+        starts = ends - [len(d) for d in data]
+        whole = b"".join(data)
+        at = [*token_files.cuts(np.frombuffer(whole, np.uint8), starts, ends).tolist(), len(whole)]
+        assert set(starts.tolist()) <= set(at)
+        pieces = [whole[a:b].decode() for a, b in zip(at, at[1:])]
+        assert [m for p in pieces for m in GPT2.findall(p)] == [m for t in texts for m in GPT2.findall(t)]
+        n += len(pieces) - len(texts)
+    assert n > 15_000
+
+
+def test_each_piece_is_asked_for_once():
+    """A word is asked for once, whatever marks, digits, quotes or lines stand around it, and only new pieces are."""
+    path = P.path("byte_bpe_50k.json")
+    lib, plain = token_files.LibraryEncoder(path), Tokenizer.from_file(path)
+    asked, words = [], lib.encoder.encode_words
+    lib.encoder.encode_words = lambda new: asked.extend(new) or words(new)
+    texts = [" ".join(["a", *(b + w + e for w in ("words", "straße") for b in ("", "(", '"', "12", "x\n(", "- ") for e in ("", ")", ",12", '."', "!\n", "\n\n", "34!", " ", "3 words"))]) for _ in range(2)]
+    for _ in range(2):
+        for t, ids in zip(texts, lib.batch(texts)):
+            assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert sorted(asked) == sorted(["words", "straße", "x"])
+    # texts without known cuts are long pieces, which aren't kept
+    kept = len(lib.encoder.young)
+    long = ["漢字かな" * 300 + str(i) for i in range(5)] + [" слово λόγος" * 300]
+    for t, ids in zip(long, lib.batch(long)):
+        assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert max(map(len, lib.encoder.young)) <= token_files.LONGEST and len(lib.encoder.young) <= kept + 2
+
+
+def test_tokenizer_files_that_set_up_more(tmp_path):
+    """Files with another pattern, a normalizer or other merges are the library's too."""
+    texts = ["Some WORDS stand  here, and\nthere's  a line <|endoftext|> ", "reading  Straße 12 ÉTÉ", "", None, "unhappiness of tokenizations"]
+    changes = [
+        {"normalizer": {"type": "Lowercase"}},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}},
+        {"truncation": {"direction": "Right", "max_length": 4, "strategy": "LongestFirst", "stride": 0}},
+        {"ignore_merges": True},
+        {},
+    ]
+    with open(P.path("byte_bpe_50k.json")) as f:
+        setup = json.load(f)
+    for i, change in enumerate(changes):
+        model = setup["model"] | {k: v for k, v in change.items() if k in setup["model"]}
+        path = str(tmp_path / f"{i}.json")
+        with open(path, "w") as f:
+            json.dump(setup | {k: v for k, v in change.items() if k not in model} | {"model": model}, f)
+        plain = Tokenizer.from_file(path)
+        for t, ids in zip(texts, token_files.LibraryEncoder(path).batch(texts)):
+            assert ids.tolist() == plain.encode(t or "", add_special_tokens=False).ids, (change, t)
